@@ -73,9 +73,9 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    # rand keeps a later filter on these columns from being pushed down into the arrays above, which it would repeat
+    # a row number keeps a later filter on these columns from being pushed into the arrays above, which it would repeat
     n = F.coalesce(covered, F.lit(0)).cast("long")
-    d = d.withColumn("n_repeat_words", F.when(F.rand(0) >= 0, n).otherwise(F.lit(0).cast("long")))
+    d = d.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, n).otherwise(F.lit(0).cast("long")))
     return d.drop("__w", "__h", "__lines", "__s")
 
 
