@@ -7,8 +7,10 @@ ids; a choice costs one pass over the open levels and no search over windows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -132,29 +134,78 @@ class Encoder:
     """Ids of whole texts, with a cache of white-space delimited strings.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of
-    its parts in order. The cache is emptied at ``max_cached`` entries.
+    its parts in order. New parts of letters, with punctuation behind them or not, are
+    encoded by the thousand in one call, where the end of each shows in its last token;
+    others are encoded one by one. The cache is emptied at ``max_cached`` entries.
     """
 
-    def __init__(self, path: str, end_id: int, max_cached: int = 500_000):
+    #: Letters (checked again) and then, if any, ASCII punctuation but the apostrophe, which joins what follows.
+    _SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str, end_id: int, max_cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.max_cached, self.cache = end_id.to_bytes(4, "little"), max_cached, {}
+        self.end, self.max_cached, self.cache, self.stems = end_id.to_bytes(4, "little"), max_cached, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        done = self.tokenizer.encode_batch(parts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of strings that are one pre-token each."""
+        out = []
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                out += self._each(some)
+                continue
+            raw, upto = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(upto, upto[1:])]
+        return out
+
+    def _add(self, new: list[bytes]) -> None:
+        simple, stems, tails, other = [], [], [], []
+        texts = b"\n".join(new).decode("utf-8", "replace").split("\n")
+        composed = is_normalized("NFC", "\n".join(texts))
+        for part, text in zip(new, texts):
+            if text.isalpha():
+                stem, tail = text, ""
+            elif m := self._SIMPLE.fullmatch(text):
+                stem, tail = m.groups()
+            else:
+                stem, tail = "", ""
+            if stem.islower() and stem.isalpha() and (composed or is_normalized("NFC", stem)):
+                simple.append(part)
+                stems.append(stem)
+                tails.append(tail)
+            else:
+                other.append((part, text))
+        of = self.stems
+        if len(of) > self.max_cached:
+            of.clear()
+        units = list({*stems, *tails}.difference(of, [""]))
+        of.update(zip(units, self._words(units)))
+        of[""] = b""
+        self.cache.update((p, of[s] + of[t]) for p, s, t in zip(simple, stems, tails))
+        self.cache.update(zip([p for p, _ in other], self._each([t for _, t in other])))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         # a special token's string is one as it is written only, so such texts keep their case
         parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        cache, out = self.cache, []
-        for words in parts:
-            new = list(set(words).difference(cache))
-            if new:
-                if len(cache) + len(new) > self.max_cached:
-                    cache.clear()
-                    new = list(set(words))
-                done = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-                cache.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, done))
-            out.append(b"".join(map(cache.__getitem__, words)) + self.end)
-        return out
+        cache = self.cache
+        new = set().union(*parts).difference(cache)
+        if new:
+            if len(cache) + len(new) > self.max_cached:
+                cache.clear()
+                new = set().union(*parts)
+            self._add(list(new))
+        return [b"".join(map(cache.__getitem__, words)) + self.end for words in parts]
 
 
 def pack(
@@ -183,9 +234,9 @@ def pack(
         rows: list[tuple] = []
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 64):
-                for d, b in zip(ids[i : i + 64], encode([x or b"" for x in texts[i : i + 64].to_pylist()])):
-                    rows.extend(packer.add((d, 0, b, len(b) // 4)))
+            for part in _runs(texts.to_pylist(), 2 << 20):
+                for i, b in zip(part, encode([texts[i].as_py() or b"" for i in part])):
+                    rows.extend(packer.add((ids[i], 0, b, len(b) // 4)))
                 if len(rows) > 5000:
                     yield _batch(rows)
                     rows = []
@@ -196,5 +247,17 @@ def pack(
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def _runs(texts: list[bytes | None], size: int) -> Iterator[range]:
+    """Runs of texts with about so many bytes together."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or b"")
+        if held >= size:
+            yield range(at, i + 1)
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield range(at, len(texts))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_ARROW)
