@@ -220,12 +220,14 @@ def nearest(
                 s = np.einsum("ij,j->i", x, q) / (x_norm * np.sqrt(np.einsum("i,i->", q, q)))
                 top = np.arange(len(s)) if len(s) <= k + 1 else np.flatnonzero(s >= np.partition(s, -k - 1)[-k - 1])
                 top = top[np.lexsort((first[top], -s[top]))]
-                rows = sorted((-s[j], i) for j in top for i in ids[j])[: k + 1]
-                out += [(v, -a, i) for a, i in rows]
-        return pd.DataFrame(out, columns=["vec", "score", "vec_id"])
-
-    found = left.groupBy("leaf", "b", "q").cogroup(right.groupBy("leaf", "b", "q")).applyInPandas(compare, "vec binary, score double, vec_id long")
-    best = found.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1).alias("best"))
+                best = sorted((-s[j], i) for j in top for i in ids[j])[: k + 1]
+                out.append((v, [a for a, _ in best], [i for _, i in best]))
+        return pd.DataFrame(out, columns=["vec", "far", "ids"])
+
+    # a row for each query and block, with its best there
+    found = left.groupBy("leaf", "b", "q").cogroup(right.groupBy("leaf", "b", "q")).applyInPandas(compare, "vec binary, far array<double>, ids array<long>")
+    pairs = F.zip_with("far", "ids", lambda a, i: F.struct(a.alias("far"), i.alias("vec_id")))
+    best = found.select("vec", pairs.alias("part")).groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k + 1).alias("best"))
     hits = asked.join(best, "vec").select("query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     d = hits.select("query_id", F.posexplode("best").alias("at", "hit"))
     return d.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
