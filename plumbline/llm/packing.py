@@ -7,6 +7,7 @@ ids; a choice costs one pass over the open levels and no search over windows.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -152,7 +153,7 @@ class Encoder:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _each(self, parts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch(parts, add_special_tokens=False)
+        done = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -160,7 +161,7 @@ class Encoder:
         out = []
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some):
                 out += self._each(some)
@@ -232,15 +233,17 @@ def pack(
         encode = Encoder(path, end_id)
         packer = Packer(size, first_id=TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
+        gc.disable()  # there are no cycles, but lists of millions of words to walk
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for part in _runs(texts.to_pylist(), 2 << 20):
-                for i, b in zip(part, encode([texts[i].as_py() or b"" for i in part])):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in _runs(texts, 8 << 20):
+                for i, b in zip(part, encode([texts[i] or b"" for i in part])):
                     rows.extend(packer.add((ids[i], 0, b, len(b) // 4)))
                 if len(rows) > 5000:
                     yield _batch(rows)
                     rows = []
         rows.extend(packer.finish())
+        gc.enable()
         if rows:
             yield _batch(rows)
 
