@@ -8,9 +8,9 @@ ids; a choice costs one pass over the open levels and no search over windows.
 from __future__ import annotations
 
 import gc
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from operator import add
 from unicodedata import is_normalized
 
 import numpy as np
@@ -140,8 +140,8 @@ class Encoder:
     others are encoded one by one. The cache is emptied at ``max_cached`` entries.
     """
 
-    #: Letters (checked again) and then, if any, ASCII punctuation but the apostrophe, which joins what follows.
-    _SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+    #: ASCII punctuation that is one token group behind letters; an apostrophe may join what follows.
+    _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, end_id: int, max_cached: int = 1_000_000):
         from tokenizers import Tokenizer
@@ -175,16 +175,11 @@ class Encoder:
         texts = b"\n".join(new).decode("utf-8", "replace").split("\n")
         composed = is_normalized("NFC", "\n".join(texts))
         for part, text in zip(new, texts):
-            if text.isalpha():
-                stem, tail = text, ""
-            elif m := self._SIMPLE.fullmatch(text):
-                stem, tail = m.groups()
-            else:
-                stem, tail = "", ""
-            if stem.islower() and stem.isalpha() and (composed or is_normalized("NFC", stem)):
+            stem = text.rstrip(self._TAIL)
+            if stem.isalpha() and stem.islower() and (composed or is_normalized("NFC", stem)):
                 simple.append(part)
                 stems.append(stem)
-                tails.append(tail)
+                tails.append(text[len(stem) :])
             else:
                 other.append((part, text))
         of = self.stems
@@ -193,7 +188,7 @@ class Encoder:
         units = list({*stems, *tails}.difference(of, [""]))
         of.update(zip(units, self._words(units)))
         of[""] = b""
-        self.cache.update((p, of[s] + of[t]) for p, s, t in zip(simple, stems, tails))
+        self.cache.update(zip(simple, map(add, map(of.__getitem__, stems), map(of.__getitem__, tails))))
         self.cache.update(zip([p for p, _ in other], self._each([t for _, t in other])))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
