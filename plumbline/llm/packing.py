@@ -204,6 +204,10 @@ class Encoder:
         return [b"".join(map(cache.__getitem__, words)) + self.end for words in parts]
 
 
+#: A worker keeps its encoder, and what that has cached, from task to task.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: Callable[[], str] | str,
@@ -225,7 +229,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path() if callable(tokenizer_path) else tokenizer_path
-        encode = Encoder(path, end_id)
+        encode = _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), Encoder(path, end_id))
         packer = Packer(size, first_id=TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         gc.disable()  # there are no cycles, but lists of millions of words to walk
