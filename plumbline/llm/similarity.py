@@ -137,7 +137,7 @@ def _scan(docs: DataFrame, k: int, share: float, n_ranges: int, max_tokens: int
     A token that two different sets of a block have is shared whatever other blocks hold, so
     it is sent once, for no document, and counted here; other tokens are sent with theirs.
     """
-    limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
+    limit = _limit(share)
     width = -(-int(limit) // n_ranges)
     shift = np.uint64(max(0, width.bit_length() - 32))
     names = [x.strip().split(" ")[0] for x in _SCAN.split(",")]
@@ -232,7 +232,8 @@ def _support(scan: DataFrame) -> DataFrame:
 
 # ---- the fine matrix: groups of similar documents ----------------------------------------
 
-_GROUP = "root long, rids array<long>, sets array<binary>, tokens binary"
+#: A group: its members' ids, set sizes, sketches (sampled tokens, cut to 32 bits) and sets, and their token union if they are several.
+_GROUP = "root long, rids array<long>, ns array<long>, sketches array<binary>, sets array<binary>, tokens binary"
 
 
 def _set(b: bytes) -> np.ndarray:
@@ -279,35 +280,56 @@ def _parts(m: int, links: Iterator[tuple[int, int]]) -> list[list[int]]:
     return list(out.values())
 
 
-def _groups(sets: DataFrame, t: Threshold, most: int = 256, most_tokens: int = 1_000_000) -> DataFrame:
+def _sketch(tokens: np.ndarray, share: float) -> bytes:
+    """The sampled tokens' upper halves; two that fall together are both kept, so that overlap is never too small."""
+    return (tokens[: np.searchsorted(tokens, _limit(share))] >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def _limit(share: float) -> np.uint64:
+    return np.uint64(min(int(share * 2**64), 2**64 - 1))
+
+
+def _groups(sets: DataFrame, t: Threshold, share: float, most: int = 256, most_tokens: int = 1_000_000) -> DataFrame:
     """Groups of linked documents. Documents with one smallest token meet, in chunks of bounded size."""
     d = sets.withColumn("low", F.substring("set", 1, 8))
-    sizes = d.groupBy("low").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / most_tokens)).alias("chunks"))
-    d = d.join(sizes, "low").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")))
-    alone = d.where("m = 1").select(F.col("rid").alias("root"), F.array("rid").alias("rids"), F.array("set").alias("sets"), F.col("set").alias("tokens"))
+    chunks = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / most_tokens)).cast("long")
+    hot = d.groupBy("low").agg(chunks.alias("chunks")).where("chunks > 1")  # one key in `most` rows at most
+    d = d.join(hot, "low", "left").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.coalesce("chunks", F.lit(1).cast("long"))))
 
     def meet(rows):
         rows.sort(key=lambda r: r["rid"])
         got = [_set(r["set"]) for r in rows]
         for part in _parts(len(rows), _links_within(got, t) if len(rows) > 1 else iter(())):
-            union = np.unique(np.concatenate([got[i] for i in part]))
-            yield rows[part[0]]["rid"], [rows[i]["rid"] for i in part], [rows[i]["set"] for i in part], union.tobytes()
-
-    together = by_key(d.where("m > 1").select("low", "chunk", "rid", "set"), ["low", "chunk"], meet, _GROUP)
-    return store.materialize(alone.unionByName(together), "jaccard-groups")
+            own = [got[i] for i in part]
+            union = np.unique(np.concatenate(own)).tobytes() if len(part) > 1 else None
+            yield rows[part[0]]["rid"], [rows[i]["rid"] for i in part], [len(s) for s in own], [_sketch(s, share) for s in own], [s.tobytes() for s in own], union
+
+    return store.materialize(by_key(d.select("low", "chunk", "rid", "set"), ["low", "chunk"], meet, _GROUP), "jaccard-groups")
+
+
+def _may_link(a: dict, b: dict, t: Threshold) -> bool:
+    """The bound by sketches: whether a document of the smaller group has enough sampled tokens in the other's union."""
+    if len(a["ns"]) > len(b["ns"]):
+        a, b = b, a
+    low, high = min(b["ns"]), max(b["ns"])
+    union = np.concatenate([np.frombuffer(x, dtype="<u4") for x in b["sketches"]])
+    for n, q in zip(a["ns"], a["sketches"]):
+        if high * t.den >= n * t.num and n * t.den >= low * t.num:
+            q = np.frombuffer(q, dtype="<u4")
+            if np.isin(q, union).sum() >= len(q) - t.missing(n):
+                return True
+    return False
 
 
-def _any_link(a_sets: list[bytes], a_tokens: bytes, b_sets: list[bytes], b_tokens: bytes, t: Threshold) -> bool:
+def _any_link(a: dict, b: dict, t: Threshold) -> bool:
     """Whether two groups are linked: a document of the smaller one opens the other if its union bound allows it."""
-    if len(a_sets) > len(b_sets):
-        a_sets, a_tokens, b_sets, b_tokens = b_sets, b_tokens, a_sets, a_tokens
-    union = _set(b_tokens)
-    members = None
-    for q in map(_set, a_sets):
-        bound = len(np.intersect1d(q, union, assume_unique=True))
-        if bound < len(q) - t.missing(len(q)):
+    if len(a["sets"]) > len(b["sets"]):
+        a, b = b, a
+    members = [_set(s) for s in b["sets"]]
+    union = _set(b["tokens"]) if b["tokens"] else members[0]
+    for q in map(_set, a["sets"]):
+        if len(np.intersect1d(q, union, assume_unique=True)) < len(q) - t.missing(len(q)):
             continue
-        members = members or [_set(s) for s in b_sets]
         for s in members:
             if len(s) * t.den >= len(q) * t.num and len(q) * t.den >= len(s) * t.num and t.linked(len(np.intersect1d(q, s, assume_unique=True)), len(q), len(s)):
                 return True
@@ -315,20 +337,22 @@ def _any_link(a_sets: list[bytes], a_tokens: bytes, b_sets: list[bytes], b_token
 
 
 def _linked_groups(pairs: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
-    """Those of the pairs (a, b) of groups that have a link."""
-    left = groups.select(F.col("root").alias("a"), F.col("sets").alias("a_sets"), F.col("tokens").alias("a_tokens"))
-    right = groups.select(F.col("root").alias("b"), F.col("sets").alias("b_sets"), F.col("tokens").alias("b_tokens"))
+    """Those of the pairs (a, b) of groups that have a link: first by what sketches allow, then by the sets."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                rows = batch.slice(at, 16).to_pylist()
-                hits = [r for r in rows if _any_link(r["a_sets"], r["a_tokens"], r["b_sets"], r["b_tokens"], t)]
-                if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in hits], pa.int64()) for x in ("a", "b")], names=["a", "b"])
+    def step(pairs, columns, test, tag):
+        side = lambda x: groups.select(F.col("root").alias(x), F.struct(*columns).alias(f"of_{x}"))
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 16):
+                    hits = [r for r in batch.slice(at, 16).to_pylist() if test(r["of_a"], r["of_b"], t)]
+                    if hits:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in hits], pa.int64()) for x in ("a", "b")], names=["a", "b"])
+
+        joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b")
+        return store.materialize(joined.mapInArrow(run, "a long, b long"), tag)
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "a_sets", "a_tokens", "b", "b_sets", "b_tokens")
-    return store.materialize(joined.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return step(step(pairs, ["ns", "sketches"], _may_link, "jaccard-bounds"), ["sets", "tokens"], _any_link, "jaccard-links")
 
 
 def _labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -429,13 +453,14 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text:
     share = min(1.0, 2 * (den - num) / den)
     n_ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     scan = _scan(base, k, share, n_ranges)
-    rows = scan.where("rid IS NOT NULL").select("rid", "doc_id", "n", "fp", "sampled", "local", "block", "idx")
+    rows = store.materialize(scan.where("rid IS NOT NULL").select("rid", "doc_id", "n", "fp", "sampled", "local", "block", "idx"), "jaccard-documents")
 
     # a linked document lacks so few of a document's tokens, sampled ones included
     missing = F.floor(F.col("n") * (den - num) / den)
     supported = rows.where("n > 0").join(_support(scan), ["block", "idx"], "left").where(F.col("local") + F.coalesce("more", F.lit(0)) >= F.col("sampled") - missing)
     # a whole group of copies stands or falls together; one of them speaks for it
     kept = store.materialize(supported.groupBy("fp").agg(F.min("rid").alias("rid")), "jaccard-kept")
+    store.discard(scan)
     few = kept.limit(max_broadcast + 1).count() <= max_broadcast
     speakers = kept.select("rid")
 
@@ -447,7 +472,8 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text:
 
     spoken = base.select("rid", "text").join(F.broadcast(speakers) if few else speakers, "rid", "left_semi")
     sets = store.materialize(spoken.mapInArrow(sets_of, "rid long, n long, set binary"), "jaccard-sets")
-    groups = _groups(sets, t)
+    groups = _groups(sets, t, share)
+    store.discard(sets)
     roots = _connect(groups, t)
 
     by_rid = groups.select("root", F.explode("rids").alias("rid")).join(roots, "root").select("rid", "label")
