@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from operator import add
 from unicodedata import is_normalized
 
@@ -204,8 +205,10 @@ class Encoder:
         return [b"".join(map(cache.__getitem__, words)) + self.end for words in parts]
 
 
-#: A worker keeps its encoder, and what that has cached, from task to task.
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """A worker keeps its encoder, and what that has cached, from task to task."""
+    return Encoder(path, end_id)
 
 
 def pack(
@@ -229,7 +232,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path() if callable(tokenizer_path) else tokenizer_path
-        encode = _ENCODERS.get((path, end_id)) or _ENCODERS.setdefault((path, end_id), Encoder(path, end_id))
+        encode = _encoder(path, end_id)
         packer = Packer(size, first_id=TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         gc.disable()  # there are no cycles, but lists of millions of words to walk
