@@ -198,10 +198,19 @@ def _scan(docs: DataFrame, k: int, share: float, n_ranges: int, max_tokens: int
 def _support(scan: DataFrame) -> DataFrame:
     """(block, idx, more): how many of a document's tokens, not shared in its own block, other blocks have."""
 
+    def counted(block: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row for each block: its documents and their counts."""
+        pairs, n = np.unique(np.stack([block, doc], axis=1), axis=0, return_counts=True)
+        starts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(pairs))):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(pairs[a, 0])]), pa.array([pairs[a:b, 1].astype("<i4").tobytes()], pa.binary()), pa.array([n[a:b].astype("<i4").tobytes()], pa.binary())], names=["block", "docs", "counts"]
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, found, size = None, [], [], 0
 
-        def flush():
+        def shared():
             tok = np.concatenate([h[0] for h in held])
             doc = np.concatenate([h[1] for h in held]).astype(np.int64)
             block = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
@@ -209,25 +218,35 @@ def _support(scan: DataFrame) -> DataFrame:
             tok, doc, block = tok[order], doc[order], block[order]
             new = np.ones(len(tok), dtype=bool)
             new[1:] = tok[1:] != tok[:-1]
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(tok)))
+            n = np.diff(np.append(np.flatnonzero(new), len(tok)))
             take = np.repeat(n > 1, n) & (doc >= 0)
-            pairs, counts = np.unique(np.stack([block[take], doc[take]], axis=1), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts)], names=["block", "idx", "more"])
+            return block[take], doc[take]
 
         for batch in batches:
             for r, block, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and r != at:
-                    yield flush()
+                    found.append(shared())
+                    size += len(found[-1][0])
                     held = []
+                    if size > 2_000_000:
+                        yield from counted(*map(np.concatenate, zip(*found)))
+                        found, size = [], 0
                 at = r
                 held.append((*_unpack(blob), block))
         if held:
-            yield flush()
+            found.append(shared())
+        if found:
+            yield from counted(*map(np.concatenate, zip(*found)))
+
+    def total(rows):
+        docs = np.concatenate([np.frombuffer(r["docs"], dtype="<i4") for r in rows])
+        counts = np.bincount(docs, np.concatenate([np.frombuffer(r["counts"], dtype="<i4") for r in rows]))
+        for i in np.flatnonzero(counts):
+            yield rows[0]["block"], int(i), int(counts[i])
 
     n = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blobs = scan.where("range IS NOT NULL").select("range", "block", "blob").repartition(n, "range").sortWithinPartitions("range")
-    return blobs.mapInArrow(run, "block long, idx long, more long").groupBy("block", "idx").agg(F.sum("more").alias("more"))
+    return by_key(blobs.mapInArrow(run, "block long, docs binary, counts binary"), ["block"], total, "block long, idx long, more long")
 
 
 # ---- the fine matrix: groups of similar documents ----------------------------------------
@@ -386,6 +405,48 @@ def _prefixes(groups: DataFrame, t: Threshold) -> DataFrame:
     return groups.select("root", "sets").mapInArrow(run, "token long, root long")
 
 
+def _pairs(rare: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(a, b): groups with different labels that share a token of (token, root, label).
+
+    Tokens with the same first group meet in one task, a token at a time, because similar
+    groups share many tokens and their pair is then made once; few are made again after
+    ``most`` pairs.
+    """
+    lead = rare.groupBy("token").agg(F.min("root").alias("lead"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token", "lead")
+
+    def run(batches):
+        seen, at, here, out = set(), None, [], []
+
+        def meet():
+            for i, (a, x) in enumerate(here):
+                for b, y in here[:i]:
+                    if x != y and (pair := (min(a, b), max(a, b))) not in seen:
+                        seen.add(pair)
+                        out.append(pair)
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+        for batch in batches:
+            for token, root, label in zip(*(c.to_pylist() for c in batch.columns)):
+                if token != at:
+                    meet()
+                    at, here = token, []
+                    if len(out) > 10_000:
+                        yield rows()
+                        out = []
+                    if len(seen) > most:
+                        seen.clear()
+                here.append((root, label))
+        meet()
+        if out:
+            yield rows()
+
+    n = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rare.join(lead, "token").repartition(n, "lead").sortWithinPartitions("lead", "token")
+    return dealt.select("token", "root", "label").mapInArrow(run, "a long, b long")
+
+
 def _token_rows(groups: DataFrame) -> DataFrame:
     """(token, rid, n, root, label): all tokens of all members."""
 
@@ -428,9 +489,7 @@ def _connect(groups: DataFrame, t: Threshold) -> DataFrame:
     room = F.floor(F.col("n") * (t.den - t.num) / t.den) + 1 - (F.col("n") - F.size("s"))
     rare = shared.where(room > 0).select("root", "label", F.explode(F.slice("s", F.lit(1), room.cast("int"))).alias("x"))
     rare = store.materialize(rare.select("root", "label", F.col("x.token").alias("token")).distinct(), "jaccard-rare")
-    other = rare.select("token", F.col("root").alias("b"), F.col("label").alias("b_label"))
-    more = rare.join(other, "token").where("label < b_label").select(F.least("root", "b").alias("a"), F.greatest("root", "b").alias("b")).distinct()
-    late = _linked_groups(more.join(pairs, ["a", "b"], "left_anti"), groups, t)
+    late = _linked_groups(_pairs(rare).distinct().join(pairs, ["a", "b"], "left_anti"), groups, t)
     if late.isEmpty():
         return roots
     return _with_labels(groups, edges.union(late)).select("root", "label")
