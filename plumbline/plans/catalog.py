@@ -1,9 +1,440 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the driver's tables, and their SQL for a second engine.
 
+The tables stand in for captures: ``cloud`` is lineitem (x quantity, y price in thousands,
+z discount in hundredths, chunk the line number), ``frames`` is events (a clip is a user,
+sharpness the value). Every query reads whole tables.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-def oracle_sql():
-    return {}
+from plumbline.operators import cloud, grid, robust, rules, sequence, spatial
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _cloud(spark, sf) -> DataFrame:
+    return _t(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"), F.col("l_linenumber").alias("chunk")
+    )
+
+
+CLOUD = "(SELECT l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, l_linenumber AS chunk FROM lineitem)"
+
+
+def _cells(spark, sf) -> DataFrame:
+    return _cloud(spark, sf).select(cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 5.0).alias("iz"), "chunk")
+
+
+CELLS = f"(SELECT floor(x / 2.0)::BIGINT AS ix, floor(y / 5.0)::BIGINT AS iz, chunk FROM {CLOUD})"
+
+
+@query(f"SELECT floor(x/5.0)::BIGINT AS ix, floor(y/5.0)::BIGINT AS iy, floor(z/2.0)::BIGINT AS iz, count(*)::BIGINT AS n, round(avg(x),6) AS mx, round(avg(y),6) AS my, round(avg(z),6) AS mz FROM {CLOUD} GROUP BY ALL")
+def q01_voxel_centroid(spark, sf):
+    return cloud.voxel_centroids(_cloud(spark, sf), {"x": 5.0, "y": 5.0, "z": 2.0})
+
+
+@query(f"SELECT chunk, floor(x/5.0)::BIGINT AS ix, floor(y/5.0)::BIGINT AS iy, floor(z/2.0)::BIGINT AS iz, count(*)::BIGINT AS n, round(avg(x),6) AS mx, round(avg(y),6) AS my, round(avg(z),6) AS mz FROM {CLOUD} GROUP BY ALL")
+def q02_chunk_voxels(spark, sf):
+    return cloud.voxel_centroids(_cloud(spark, sf), {"x": 5.0, "y": 5.0, "z": 2.0}, ("chunk",))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round((l_linenumber * 10 - 127.4) * q / 213.05, 6) AS cam_x, round((l_quantity - 95.7) * q / 213.05, 6) AS cam_y, round(q, 6) AS cam_z
+FROM (SELECT *, l_extendedprice / 20000 AS q FROM lineitem) WHERE q BETWEEN 0.3 AND 4.0 AND l_linenumber >= 2""")
+def q03_back_projection(spark, sf):
+    d = _t(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_linenumber") * 10).alias("u"), F.col("l_quantity").alias("v"), (F.col("l_extendedprice") / 20000).alias("z"), F.col("l_linenumber").alias("conf"),
+        F.lit(213.05).alias("fx"), F.lit(213.05).alias("fy"), F.lit(127.4).alias("cx"), F.lit(95.7).alias("cy"),
+    )
+    d = cloud.back_project(cloud.confident(d))
+    return d.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in ("cam_x", "cam_y", "cam_z")])
+
+
+@query(f"SELECT chunk, count(*)::BIGINT AS n, round(avg(CASE WHEN chunk <= 3 THEN cos(0.01*chunk)*x - sin(0.01*chunk)*z + 0.5*chunk ELSE x END),6) AS mx, round(avg(CASE WHEN chunk <= 3 THEN sin(0.01*chunk)*x + cos(0.01*chunk)*z - 0.25*chunk ELSE z END),6) AS mz FROM {CLOUD} GROUP BY chunk")
+def q04_chunk_drift(spark, sf):
+    shifts = spark.createDataFrame([(c, 0.01 * c, 0.5 * c, -0.25 * c) for c in (1, 2, 3)], "chunk int, theta double, dx double, dz double")
+    return cloud.shift_chunks(_cloud(spark, sf), shifts).groupBy("chunk").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mx"), F.round(F.avg("z"), 6).alias("mz"))
+
+
+@query(f"SELECT ix, iz, count(*)::BIGINT AS n FROM {CELLS} GROUP BY ALL")
+def q05_cell_histogram(spark, sf):
+    return grid.cell_counts(_cells(spark, sf), ["ix", "iz"])
+
+
+@query(f"SELECT ix, iz, count(*)::BIGINT AS bands, sum(n)::BIGINT AS n FROM (SELECT floor(x/2.0)::BIGINT AS ix, floor(y/5.0)::BIGINT AS iz, floor(z/1.0)::BIGINT AS b, count(*) AS n FROM {CLOUD} GROUP BY ALL) GROUP BY ix, iz HAVING count(*) >= 3")
+def q06_band_coverage(spark, sf):
+    d = _cloud(spark, sf).select(cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 5.0).alias("iz"), cloud.cell("z", 1.0).alias("b"))
+    return grid.band_coverage(d, ["ix", "iz"], "b")
+
+
+@query(f"SELECT ix, iz, count(DISTINCT b)::BIGINT AS bands FROM (SELECT floor(x/2.0)::BIGINT AS ix, floor(y/5.0)::BIGINT AS iz, floor(z/1.0)::BIGINT AS b FROM {CLOUD}) GROUP BY ix, iz HAVING count(DISTINCT b) >= 3")
+def q07_band_bitmap(spark, sf):
+    d = _cloud(spark, sf).select(cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 5.0).alias("iz"), cloud.cell("z", 1.0).alias("b"))
+    return grid.band_bitmap(d, ["ix", "iz"], "b")
+
+
+@query("SELECT round(quantile_cont(l_extendedprice, 0.001), 6) AS lo, round(quantile_cont(l_extendedprice, 0.999), 6) AS hi FROM lineitem")
+def q08_robust_extent(spark, sf):
+    return _t(spark, sf, "lineitem").agg(F.round(F.expr("percentile(l_extendedprice, 0.001)"), 6).alias("lo"), F.round(F.expr("percentile(l_extendedprice, 0.999)"), 6).alias("hi"))
+
+
+@query("SELECT l_returnflag, round(median(l_extendedprice), 6) AS med, round(1.4826 * mad(l_extendedprice), 6) AS spread, count(*)::BIGINT AS n FROM lineitem GROUP BY l_returnflag")
+def q09_median_mad(spark, sf):
+    d = robust.median_mad(_t(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return d.select("l_returnflag", F.round("med", 6).alias("med"), F.round("spread", 6).alias("spread"), "n")
+
+
+_BINS = """WITH b AS (SELECT floor(l_extendedprice / 1000)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1),
+d AS (SELECT r.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(bin) FROM b), (SELECT max(bin) FROM b) + 1)) AS bin) r LEFT JOIN b USING (bin)),
+s AS (SELECT bin, n, sum(n) OVER (ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)::BIGINT AS s FROM d)"""
+
+
+def _bins(spark, sf):
+    return robust.histogram(_t(spark, sf, "lineitem"), "l_extendedprice", 1000)
+
+
+@query(_BINS + " SELECT bin::BIGINT AS bin, s FROM s ORDER BY s DESC, bin LIMIT 1")
+def q10_histogram_mode(spark, sf):
+    return robust.mode(_bins(spark, sf))
+
+
+@query(_BINS + ", p AS (SELECT bin, s, lag(s, 1, 0) OVER (ORDER BY bin) AS a, lead(s, 1, 0) OVER (ORDER BY bin) AS z, max(s) OVER () AS top FROM s) SELECT bin::BIGINT AS bin, s FROM p WHERE s >= a AND s > z AND s >= 0.5 * top ORDER BY bin DESC LIMIT 1")
+def q11_highest_peak(spark, sf):
+    return robust.highest_peak(_bins(spark, sf))
+
+
+@query("SELECT round(sum(n * n) / (sum(n) * sum(n)), 9) AS layering FROM (SELECT l_quantity, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1)")
+def q12_layering(spark, sf):
+    n = F.col("n").cast("double")
+    d = _t(spark, sf, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n"))
+    return d.agg(F.round(F.sum(n * n) / (F.sum(n) * F.sum(n)), 9).alias("layering"))
+
+
+@query(f"SELECT chunk, round(sum(n * n) / sum(n), 6) AS concentration FROM (SELECT chunk, ix, iz, count(*)::DOUBLE AS n FROM {CELLS} GROUP BY ALL) GROUP BY chunk")
+def q13_wall_concentration(spark, sf):
+    n = F.col("n").cast("double")
+    return grid.cell_counts(_cells(spark, sf), ["chunk", "ix", "iz"]).groupBy("chunk").agg(F.round(F.sum(n * n) / F.sum(n), 6).alias("concentration"))
+
+
+@query("""WITH r AS (SELECT l_partkey, l_extendedprice / l_quantity AS r FROM lineitem), m AS (SELECT l_partkey, median(r) AS med, 1.4826 * mad(r) AS s FROM r GROUP BY 1)
+SELECT l_partkey, round(median(r), 6) AS fit, count(*)::BIGINT AS n FROM r JOIN m USING (l_partkey) WHERE abs(r - med) <= 3 * s + 1e-12 GROUP BY 1 HAVING count(*) >= 3""")
+def q14_ratio_fit(spark, sf):
+    d = _t(spark, sf, "lineitem").select("l_partkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("r"))
+    return robust.ratio_fit(d, "r", ["l_partkey"]).withColumn("fit", F.round("fit", 6))
+
+
+@query("""SELECT event_type, round(median(value), 6) AS med, round(1.4826 * mad(value), 6) AS spread, round(CASE WHEN median(value) >= 0 THEN greatest(0, quantile_cont(value, 0.05)) ELSE quantile_cont(value, 0.05) END, 6) AS lo,
+round(quantile_cont(value, 0.95), 6) AS hi, quantile_cont(value, 0.95) - quantile_cont(value, 0.05) <= 3.0 * 2 * 1.4826 * mad(value) AS stable FROM events GROUP BY 1""")
+def q15_robust_interval(spark, sf):
+    d = robust.robust_interval(_t(spark, sf, "events"), "value", ["event_type"])
+    return d.select("event_type", *[F.round(c, 6).alias(c) for c in ("med", "spread", "lo", "hi")], "stable")
+
+
+@query(f"SELECT c.chunk AS left_out, count(*)::BIGINT AS n, round(avg(y), 6) AS my FROM (SELECT DISTINCT chunk FROM {CLOUD}) c JOIN {CLOUD} p ON p.chunk <> c.chunk GROUP BY 1")
+def q16_leave_one_out(spark, sf):
+    """From the sums of all chunks less each one's own: no replicate reads the points again."""
+    own = _cloud(spark, sf).groupBy("chunk").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    w = W.partitionBy()  # a row a chunk
+    n, s = F.sum("n").over(w) - F.col("n"), F.sum("s").over(w) - F.col("s")
+    return own.select(F.col("chunk").alias("left_out"), n.alias("n"), F.round(s / n, 6).alias("my"))
+
+
+@query("SELECT user_id, date_trunc('day', ts)::DATE AS day, arg_max(event_id, (value, -event_id)) AS event_id, max(value) AS value FROM events GROUP BY 1, 2")
+def q17_tumbling_argmax(spark, sf):
+    d = sequence.window_argmax(_t(spark, sf, "events"), ["user_id"], F.to_date("ts"), "value", "event_id", ["event_id"])
+    return d.select("user_id", F.col("window").alias("day"), "event_id", "value")
+
+
+_DAYS = "(SELECT DISTINCT user_id, datediff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS d FROM events)"
+
+
+def _days(spark, sf):
+    return _t(spark, sf, "events").select("user_id", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long").alias("at"))
+
+
+@query(f"SELECT user_id, min(d) AS first, max(d) AS last, count(*)::BIGINT AS n FROM (SELECT *, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g FROM {_DAYS}) GROUP BY user_id, g")
+def q18_gaps_and_islands(spark, sf):
+    return sequence.islands(_days(spark, sf), ["user_id"], "at").drop("run")
+
+
+@query("""WITH h AS (SELECT DISTINCT user_id, floor(epoch(ts) / 3600)::BIGINT AS d FROM events), g AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY user_id ORDER BY d) <= 6 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY d) AS run FROM g) SELECT user_id, min(d) AS first, max(d) AS last, count(*)::BIGINT AS n FROM r GROUP BY user_id, run HAVING count(*) >= 3""")
+def q19_tolerant_runs(spark, sf):
+    hours = _t(spark, sf, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long").alias("at"))
+    return sequence.islands(hours, ["user_id"], "at", gap=6).where("n >= 3").drop("run")
+
+
+@query(_BINS + ", m AS (SELECT median(s) AS m FROM s WHERE s > 0), e AS (SELECT bin FROM s, m WHERE s < 0.5 * m) SELECT min(bin)::BIGINT AS first, max(bin)::BIGINT AS last, count(*)::BIGINT AS n FROM (SELECT bin, bin - row_number() OVER (ORDER BY bin) AS g FROM e) GROUP BY g")
+def q20_empty_gaps(spark, sf):
+    s = robust.smoothed(_bins(spark, sf))
+    low = s.join(F.broadcast(s.where("s > 0").agg(F.median("s").alias("m"))), F.col("s") < 0.5 * F.col("m"))  # a one-row side
+    return sequence.islands(low.withColumn("k", F.lit(0)), ["k"], "bin").select("first", "last", "n")
+
+
+@query("""WITH h AS (SELECT DISTINCT user_id, hour(ts)::BIGINT AS d FROM events), g AS (SELECT *, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g FROM h), r AS (SELECT user_id, min(d) AS a, max(d) AS z, count(*) AS n FROM g GROUP BY user_id, g),
+w AS (SELECT *, min(a) OVER u AS least, max(z) OVER u AS most, count(*) OVER u AS k FROM r WINDOW u AS (PARTITION BY user_id))
+SELECT user_id, CASE WHEN least = 0 AND most = 23 AND k > 1 AND a = 0 THEN (SELECT max(x.a) FROM r x WHERE x.user_id = w.user_id) ELSE a END AS first, (n + CASE WHEN least = 0 AND most = 23 AND k > 1 AND a = 0 THEN (SELECT max_by(x.n, x.a) FROM r x WHERE x.user_id = w.user_id) ELSE 0 END)::BIGINT AS n
+FROM w WHERE NOT (least = 0 AND most = 23 AND k > 1 AND z = 23)""")
+def q21_cyclic_runs(spark, sf):
+    hours = _t(spark, sf, "events").select("user_id", F.hour("ts").cast("long").alias("at"))
+    return sequence.cyclic_islands(hours, ["user_id"], "at", 24).select("user_id", "first", "n")
+
+
+def _near(spark, sf):
+    s = _t(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    c = _t(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return s, c, F.col("s_nationkey") == F.col("c_nationkey")
+
+
+@query("""WITH p AS (SELECT s_suppkey, c_custkey, abs(s_acctbal - c_acctbal) AS d FROM supplier JOIN customer ON abs(s_acctbal - c_acctbal) <= 25 AND s_nationkey <> c_nationkey),
+m AS (SELECT s_suppkey, arg_min(c_custkey, (d, c_custkey)) AS c_custkey, min(d) AS distance FROM p GROUP BY 1) SELECT s_suppkey, c_custkey, round(distance, 6) AS distance FROM supplier LEFT JOIN m USING (s_suppkey)""")
+def q22_nearest_within(spark, sf):
+    s, c, same = _near(spark, sf)
+    return spatial.nearest_within(s, c, "s_suppkey", "c_custkey", "s_acctbal", "c_acctbal", 25.0, same).withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM customer c WHERE abs(s.s_acctbal - c.c_acctbal) <= 5 AND s.s_nationkey = c.c_nationkey)")
+def q23_exists_within(spark, sf):
+    s, c, same = _near(spark, sf)
+    return spatial.within(s, c, "s_acctbal", "c_acctbal", 5.0, ~same).select("s_suppkey").distinct()
+
+
+@query(f"SELECT a.chunk AS a, b.chunk AS b, count(*)::BIGINT AS shared FROM (SELECT DISTINCT * FROM {CELLS}) a JOIN (SELECT DISTINCT * FROM {CELLS}) b ON a.ix = b.ix AND a.iz = b.iz AND a.chunk < b.chunk GROUP BY 1, 2 HAVING count(*) > 5")
+def q24_pair_overlap(spark, sf):
+    return spatial.pair_overlaps(_cells(spark, sf), "chunk", ["ix", "iz"]).where("shared > 5")
+
+
+@query(f"SELECT count(CASE WHEN a.ix IS NOT NULL AND b.ix IS NOT NULL THEN 1 END)::BIGINT AS both, count(*)::BIGINT AS either FROM (SELECT DISTINCT ix, iz FROM {CELLS} WHERE chunk = 1) a FULL JOIN (SELECT DISTINCT ix, iz FROM {CELLS} WHERE chunk = 2) b ON a.ix = b.ix AND a.iz = b.iz")
+def q25_mask_iou(spark, sf):
+    c = _cells(spark, sf)
+    return grid.iou(c.where("chunk = 1"), c.where("chunk = 2"), ["ix", "iz"])
+
+
+@query(f"SELECT count(*)::BIGINT AS cells, count(*) * 10.0::DOUBLE AS area FROM (SELECT DISTINCT ix, iz FROM {CELLS})")
+def q26_union_area(spark, sf):
+    return _cells(spark, sf).select("ix", "iz").distinct().agg(F.count("*").alias("cells"), (F.count("*") * F.lit(10.0)).alias("area"))
+
+
+@query(f"(SELECT ix, iz, 'both' AS part FROM (SELECT ix, iz FROM {CELLS} WHERE chunk = 1 INTERSECT SELECT ix, iz FROM {CELLS} WHERE chunk = 7)) UNION ALL (SELECT ix, iz, 'first' AS part FROM (SELECT ix, iz FROM {CELLS} WHERE chunk = 1 EXCEPT SELECT ix, iz FROM {CELLS} WHERE chunk = 7))")
+def q27_cell_sets(spark, sf):
+    c = _cells(spark, sf)
+    a, b = c.where("chunk = 1").select("ix", "iz"), c.where("chunk = 7").select("ix", "iz")
+    return a.intersect(b).withColumn("part", F.lit("both")).unionByName(a.exceptAll(b).distinct().join(b, ["ix", "iz"], "left_anti").withColumn("part", F.lit("first")))
+
+
+_POLY = [(5.5, 10.5), (40.5, 5.5), (45.5, 60.5), (25.5, 30.5), (10.5, 80.5)]
+
+
+def _parity_sql(x, y):
+    parts = []
+    for (x0, y0), (x1, y1) in zip(_POLY, _POLY[1:] + _POLY[:1]):
+        parts.append(f"CASE WHEN (({y0} > {y}) <> ({y1} > {y})) AND {x} < {x0} + ({y} - {y0}) * {(x1 - x0) / (y1 - y0)!r}::DOUBLE THEN 1 ELSE 0 END")
+    return "(" + " + ".join(parts) + ") % 2 = 1"
+
+
+@query(f"SELECT chunk, count(*)::BIGINT AS n FROM {CLOUD} WHERE {_parity_sql('x', 'y')} GROUP BY chunk")
+def q28_point_in_polygon(spark, sf):
+    return _cloud(spark, sf).where(grid.inside(F.col("x"), F.col("y"), _POLY)).groupBy("chunk").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_nationkey, round(abs(sum(x * ny - nx * y)) / 2, 4) AS area FROM (SELECT s_nationkey, s_suppkey::DOUBLE AS x, s_acctbal AS y, coalesce(lead(s_suppkey) OVER w, first_value(s_suppkey) OVER w)::DOUBLE AS nx, coalesce(lead(s_acctbal) OVER w, first_value(s_acctbal) OVER w) AS ny FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)) GROUP BY 1")
+def q29_shoelace(spark, sf):
+    d = _t(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").alias("seq"), F.col("s_suppkey").cast("double").alias("x"), F.col("s_acctbal").alias("y"))
+    return grid.shoelace(d, ["s_nationkey"]).withColumn("area", F.round("area", 4))
+
+
+def _distance_sql(x, y):
+    parts = []
+    for (x0, y0), (x1, y1) in zip(_POLY, _POLY[1:] + _POLY[:1]):
+        dx, dy = x1 - x0, y1 - y0
+        t = f"least(1.0, greatest(0.0, (({x} - {x0}) * {dx} + ({y} - {y0}) * {dy}) / {dx * dx + dy * dy}::DOUBLE))"
+        parts.append(f"sqrt(pow({x} - {x0} - {t} * {dx}, 2) + pow({y} - {y0} - {t} * {dy}, 2))")
+    return "least(" + ", ".join(parts) + ")"
+
+
+@query(f"SELECT chunk, round(avg({_distance_sql('x', 'y')}), 6) AS mean_distance, round(min({_distance_sql('x', 'y')}), 6) AS least FROM {CLOUD} GROUP BY chunk")
+def q30_outline_distance(spark, sf):
+    d = grid.outline_distance(F.col("x"), F.col("y"), _POLY)
+    return _cloud(spark, sf).withColumn("d", d).groupBy("chunk").agg(F.round(F.avg("d"), 6).alias("mean_distance"), F.round(F.min("d"), 6).alias("least"))
+
+
+_SPANS = "(SELECT o_custkey, o_orderkey, epoch(o_orderdate) / 86400 AS a, epoch(o_orderdate) / 86400 + 30 + o_orderkey % 60 AS z FROM orders)"
+
+
+@query(f"SELECT p.o_custkey, p.o_orderkey AS a, q.o_orderkey AS b, round(least(p.z, q.z) - greatest(p.a, q.a), 6) AS shared FROM {_SPANS} p JOIN {_SPANS} q ON p.o_custkey = q.o_custkey AND p.o_orderkey < q.o_orderkey WHERE least(p.z, q.z) - greatest(p.a, q.a) >= 0.5 * least(p.z - p.a, q.z - q.a) AND least(p.z, q.z) > greatest(p.a, q.a)")
+def q31_interval_overlap(spark, sf):
+    day = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000
+    d = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", day.alias("a"), (day + 30 + F.col("o_orderkey") % 60).alias("z"))
+    return spatial.overlaps(d, "o_custkey", "o_orderkey", "a", "z").withColumn("shared", F.round("shared", 6))
+
+
+@query(f"SELECT chunk, round(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)), 6) AS angle, round(avg(x), 6) AS mx, round(avg(y), 6) AS my FROM {CLOUD} GROUP BY chunk")
+def q32_total_least_squares(spark, sf):
+    angle = 0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))
+    return _cloud(spark, sf).groupBy("chunk").agg(F.round(angle, 6).alias("angle"), F.round(F.avg("x"), 6).alias("mx"), F.round(F.avg("y"), 6).alias("my"))
+
+
+_PLANES = [(0, 1.0, 0.0, 0.0, 0.0), (1, 0.0, 1.0, 0.0, 0.1), (2, 0.6, 0.8, 0.0, -0.1), (3, 0.0, 0.6, 0.8, 0.05)]
+
+
+@query("SELECT id, count(*) FILTER (abs(a * embedding[1]::DOUBLE + b * embedding[2]::DOUBLE + c * embedding[3]::DOUBLE - d) <= 0.2)::BIGINT AS support FROM embeddings, (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for i, a, b, c, d in _PLANES) + ") h(id, a, b, c, d) GROUP BY id")
+def q33_plane_support(spark, sf):
+    """One pass that counts every hypothesis, not a join with them."""
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    counts = [F.count_if(F.abs(a * e(0) + b * e(1) + c * e(2) - d) <= 0.2).alias(f"s{i}") for i, a, b, c, d in _PLANES]
+    d = _t(spark, sf, "embeddings").agg(*counts)
+    return d.select(F.explode(F.array(*[F.struct(F.lit(p[0]).alias("id"), F.col(f"s{p[0]}").alias("support")) for p in _PLANES])).alias("r")).select("r.*")
+
+
+@query("SELECT q.vec_id AS id, p.vec_id AS near, rank::INT AS rank FROM (SELECT q.vec_id AS qi, p.vec_id AS pi, row_number() OVER (PARTITION BY q.vec_id ORDER BY pow(q.embedding[1]::DOUBLE - p.embedding[1]::DOUBLE, 2) + pow(q.embedding[2]::DOUBLE - p.embedding[2]::DOUBLE, 2) + pow(q.embedding[3]::DOUBLE - p.embedding[3]::DOUBLE, 2), p.vec_id) AS rank FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id AND q.label = 0 AND p.label = 1) x JOIN embeddings q ON q.vec_id = qi JOIN embeddings p ON p.vec_id = pi WHERE rank <= 8")
+def q34_knn(spark, sf):
+    e = [F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyz")]
+    d = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", *e)
+    return spatial.knn(d.where("label = 0"), d.where("label = 1"), 8, ["x", "y", "z"]).select("id", "near", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"SELECT ix, iz, chunk, n FROM (SELECT ix, iz, chunk, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY ix, iz ORDER BY count(*) DESC, chunk) AS r FROM {CELLS} GROUP BY ix, iz, chunk) WHERE r = 1")
+def q35_cell_owner(spark, sf):
+    return sequence.best_of(grid.cell_counts(_cells(spark, sf), ["ix", "iz", "chunk"]), ["ix", "iz"], [F.desc("n"), F.asc("chunk")])
+
+
+@query("SELECT o_custkey, o_totalprice AS best, round(o_totalprice - nxt, 6) AS margin FROM (SELECT o_custkey, o_totalprice, lead(o_totalprice) OVER w AS nxt, row_number() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) WHERE r = 1")
+def q36_runner_up_margin(spark, sf):
+    return sequence.margin(_t(spark, sf, "orders"), ["o_custkey"], "o_totalprice", "o_orderkey").withColumn("margin", F.round("margin", 6))
+
+
+@query("SELECT l_partkey, round(exp(sum(l_quantity * ln(l_extendedprice)) / sum(l_quantity)), 4) AS mean, round(stddev_samp(ln(l_extendedprice)), 6) AS spread FROM lineitem GROUP BY 1")
+def q37_weighted_log_mean(spark, sf):
+    d = robust.weighted_log_mean(_t(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", ["l_partkey"])
+    return d.select("l_partkey", F.round("mean", 4).alias("mean"), F.round("spread", 6).alias("spread"))
+
+
+_CLASSES = [("l_discount >= 0.08 AND l_quantity > 40", "stain"), ("l_discount >= 0.08", "discoloration"), ("l_extendedprice > 80000", "crack"), ("l_tax = 0", "peeling"), ("l_quantity < 5", "hole")]
+
+
+@query("SELECT class, count(*)::BIGINT AS n FROM (SELECT CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in _CLASSES) + " ELSE 'other' END AS class FROM lineitem) GROUP BY class")
+def q38_class_cascade(spark, sf):
+    return _t(spark, sf, "lineitem").select(rules.classify([(F.expr(c), n) for c, n in _CLASSES], "other").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+_FLAGS = [("dear", "o_totalprice > 250000"), ("urgent", "o_orderpriority = '1-URGENT'"), ("open", "o_orderstatus = 'O'")]
+
+
+@query(" UNION ".join(f"SELECT o_custkey, '{n}' AS rule FROM orders WHERE {c}" for n, c in _FLAGS))
+def q39_rule_union(spark, sf):
+    return rules.flags(_t(spark, sf, "orders"), "o_custkey", [(n, F.expr(c)) for n, c in _FLAGS])
+
+
+_ACTIONS = [("A", "replace"), ("A", "inspect"), ("N", "repaint"), ("R", "inspect")]
+
+
+@query("SELECT action, round(sum(l_quantity), 4) AS quantity, count(*)::BIGINT AS n FROM lineitem JOIN (VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in _ACTIONS) + ") t(l_returnflag, action) USING (l_returnflag) GROUP BY action")
+def q40_scope(spark, sf):
+    d = rules.scope(_t(spark, sf, "lineitem"), "l_returnflag", "l_quantity", spark.createDataFrame(_ACTIONS, "l_returnflag string, action string"))
+    return d.withColumn("quantity", F.round("quantity", 4))
+
+
+@query()
+def q41_document_assembly(spark, sf):
+    o = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("orders"))
+    return _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.to_json(F.struct("c_name", "orders"), {"ignoreNullFields": "false"}).alias("plan"))
+
+
+@query("SELECT doc_id, sha256(text) AS key FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id < d.doc_id AND e.text = d.text)")
+def q42_content_keys(spark, sf):
+    """Each text's key at the first id that has it: what a cache by content would have to work out."""
+    return _t(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key")
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '^([A-Za-z]+)#0*', 'room_\\1_') AS id FROM customer")
+def q43_id_rewrite(spark, sf):
+    return _t(spark, sf, "customer").select("c_custkey", F.regexp_replace("c_name", r"^([A-Za-z]+)#0*", "room_$1_").alias("id"))
+
+
+@query("SELECT k, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM (SELECT (props::JSON->>'k')::BIGINT AS k, value FROM events) GROUP BY k")
+def q44_json_extract(spark, sf):
+    d = _t(spark, sf, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    return d.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_PATCH = f"(SELECT ix, iz FROM (SELECT floor(x/2.0)::BIGINT AS ix, floor(y/1.0)::BIGINT AS iz FROM {CLOUD} WHERE chunk = 7) GROUP BY ix, iz HAVING count(*) >= 2)"
+
+
+@query(f"""WITH RECURSIVE c AS MATERIALIZED {_PATCH}, w AS (SELECT ix, iz, iz * 100000 + ix AS label FROM c UNION SELECT c.ix, c.iz, w.label FROM w JOIN c ON abs(w.ix - c.ix) <= 1 AND abs(w.iz - c.iz) <= 1 WHERE w.label < c.iz * 100000 + c.ix)
+SELECT label // 100000 AS lz, label % 100000 AS lx, count(*)::BIGINT AS cells FROM (SELECT ix, iz, min(label) AS label FROM w GROUP BY 1, 2) GROUP BY 1, 2""")
+def q45_components(spark, sf):
+    import uuid
+
+    d = _cloud(spark, sf).where("chunk = 7").select(cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 1.0).alias("iz"))
+    d = grid.cell_counts(d, ["ix", "iz"]).where("n >= 2")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="plumbline-")
+
+    def save(df):
+        path = f"{base}/components-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    out = grid.components(d, save)
+    return out.groupBy(F.col("label.iz").alias("lz"), F.col("label.ix").alias("lx")).agg(F.count("*").alias("cells"))
+
+
+@query("SELECT user_id, round(sum(w * value) / sum(w), 6) AS mean, round(greatest(0, sum(w * value * value) / sum(w) - pow(sum(w * value) / sum(w), 2)), 4) AS var FROM (SELECT *, 1 + event_id % 3 AS w FROM events) GROUP BY 1")
+def q46_weighted_moments(spark, sf):
+    d = _t(spark, sf, "events").withColumn("w", 1 + F.col("event_id") % 3)
+    return robust.weighted_moments(d, "value", "w", ["user_id"]).select("user_id", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
+
+
+_SEVEN = f"(SELECT DISTINCT ix, iz FROM {CELLS} WHERE chunk = 7)"
+_NINE = "(SELECT ix + dx AS ix, iz + dz AS iz FROM {}, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dz))"
+
+
+@query(f"SELECT 'dilated' AS kind, ix::BIGINT AS ix, iz::BIGINT AS iz FROM (SELECT DISTINCT ix, iz FROM {_NINE.format(_SEVEN)}) UNION ALL SELECT 'eroded', ix, iz FROM {_NINE.format(_SEVEN)} GROUP BY ix, iz HAVING count(*) = 9")
+def q47_morphology(spark, sf):
+    c = _cells(spark, sf).where("chunk = 7").select("ix", "iz").distinct()
+    return grid.dilate(c).select(F.lit("dilated").alias("kind"), "ix", "iz").unionByName(grid.erode(c).select(F.lit("eroded").alias("kind"), "ix", "iz"))
+
+
+@query("""SELECT p_brand, count(*)::BIGINT AS n, count(*) FILTER (abs(l_extendedprice / l_quantity - p_retailprice) <= 0.03 * p_retailprice)::BIGINT AS passed, round(median(abs(l_extendedprice / l_quantity - p_retailprice)), 6) AS error
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def q48_tolerance_gates(spark, sf):
+    d = _t(spark, sf, "lineitem").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    error = F.abs(F.col("l_extendedprice") / F.col("l_quantity") - F.col("p_retailprice"))
+    return d.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(error <= 0.03 * F.col("p_retailprice")).alias("passed"), F.round(F.median(error), 6).alias("error"))
+
+
+@query(f"""WITH v AS (SELECT chunk, floor(x/2.0)::BIGINT AS ix, floor(y/2.0)::BIGINT AS iy, floor(z/1.0)::BIGINT AS iz, count(*) AS n, avg(y) AS my FROM {CLOUD} GROUP BY ALL)
+SELECT chunk, ix, iy, count(*)::BIGINT AS bands, sum(n)::BIGINT AS n, round(max(my), 6) AS top FROM v GROUP BY ALL HAVING count(*) >= 3""")
+def flagship_voxel_bands(spark, sf):
+    """Voxel centroids, then the columns of voxels that are covered in three height bands or more."""
+    v = cloud.voxel_centroids(_cloud(spark, sf), {"x": 2.0, "y": 2.0, "z": 1.0}, ("chunk",))
+    return v.groupBy("chunk", "ix", "iy").agg(F.count("*").alias("bands"), F.sum("n").alias("n"), F.max("my").alias("top")).where("bands >= 3")
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
