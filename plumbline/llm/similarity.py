@@ -34,7 +34,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 class Shingler:
     """Sets of word shingles as sorted distinct 64-bit hashes; words are hashed once and kept."""
 
-    def __init__(self, k: int, max_cached: int = 1_000_000):
+    def __init__(self, k: int, max_cached: int = 300_000):
         self.k, self.max_cached, self.cache = k, max_cached, {}
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
@@ -405,46 +405,87 @@ def _prefixes(groups: DataFrame, t: Threshold) -> DataFrame:
     return groups.select("root", "sets").mapInArrow(run, "token long, root long")
 
 
-def _pairs(rare: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """(a, b): groups with different labels that share a token of (token, root, label).
+def _pairs(rare: DataFrame, most: int = 4000) -> DataFrame:
+    """Groups with different labels that share a token of (token, root, label): rows (null, a, b).
 
     Tokens with the same first group meet in one task, a token at a time, because similar
-    groups share many tokens and their pair is then made once; few are made again after
-    ``most`` pairs.
+    groups share many tokens and their pair is then made once. A first group with more than
+    ``most`` pairs gives a family instead: rows (first group, member, null), all of whose
+    members are to be compared in blocks.
     """
     lead = rare.groupBy("token").agg(F.min("root").alias("lead"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token", "lead")
 
     def run(batches):
-        seen, at, here, out = set(), None, [], []
+        at, token_at, here, seen, roots, full, out = None, None, [], set(), set(), False, []
 
         def meet():
-            for i, (a, x) in enumerate(here):
-                for b, y in here[:i]:
-                    if x != y and (pair := (min(a, b), max(a, b))) not in seen:
-                        seen.add(pair)
-                        out.append(pair)
+            nonlocal full
+            roots.update(r for r, _ in here)
+            if not full:
+                for i, (a, x) in enumerate(here):
+                    seen.update((min(a, b), max(a, b)) for b, y in here[:i] if x != y)
+                    if len(seen) > most:
+                        full = True
+                        seen.clear()
+                        break
+
+        def end():
+            out.extend([(at, r, None) for r in roots] if full else [(None, a, b) for a, b in seen])
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["lead", "a", "b"])
 
         for batch in batches:
-            for token, root, label in zip(*(c.to_pylist() for c in batch.columns)):
-                if token != at:
+            for first, token, root, label in zip(*(c.to_pylist() for c in batch.columns)):
+                if token != token_at or first != at:
                     meet()
-                    at, here = token, []
-                    if len(out) > 10_000:
-                        yield rows()
-                        out = []
-                    if len(seen) > most:
-                        seen.clear()
+                    token_at, here = token, []
+                    if first != at:
+                        end()
+                        at, seen, roots, full = first, set(), set(), False
+                        if len(out) > 10_000:
+                            yield rows()
+                            out = []
                 here.append((root, label))
         meet()
+        end()
         if out:
             yield rows()
 
     n = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rare.join(lead, "token").repartition(n, "lead").sortWithinPartitions("lead", "token")
-    return dealt.select("token", "root", "label").mapInArrow(run, "a long, b long")
+    return store.materialize(dealt.select("lead", "token", "root", "label").mapInArrow(run, "lead long, a long, b long"), "jaccard-pairs")
+
+
+def _linked_families(members: DataFrame, groups: DataFrame, roots: DataFrame, t: Threshold, size: int = 256) -> DataFrame:
+    """Links between members (lead, root) of families, a block of two chunks of members at a time."""
+    chunks = members.groupBy("lead").agg(F.ceil(F.count("*") / size).cast("long").alias("chunks"))
+    d = members.join(chunks, "lead").withColumn("i", F.pmod(F.xxhash64("root"), F.col("chunks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    d = d.select("lead", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "root")
+    d = d.join(groups.select("root", "sets"), "root").join(roots, "root")
+
+    def block(rows):
+        rows.sort(key=lambda r: r["root"])
+        owner = [k for k, r in enumerate(rows) for _ in r["sets"]]
+        sets = [_set(s) for r in rows for s in r["sets"]]
+        if len(sets) < 2:
+            return
+        top = {r["label"]: r["label"] for r in rows}
+
+        def find(x):
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for i, j in _links_within(sets, t, columns=max(512, min(16384, 16_000_000 // len(sets)))):
+            a, b = rows[owner[i]], rows[owner[j]]
+            x, y = find(a["label"]), find(b["label"])
+            if x != y:
+                top[y] = x
+                yield min(a["root"], b["root"]), max(a["root"], b["root"])
+
+    return store.materialize(by_key(d, ["lead", "lo", "hi"], block, "a long, b long"), "jaccard-family-links")
 
 
 def _token_rows(groups: DataFrame) -> DataFrame:
@@ -489,7 +530,9 @@ def _connect(groups: DataFrame, t: Threshold) -> DataFrame:
     room = F.floor(F.col("n") * (t.den - t.num) / t.den) + 1 - (F.col("n") - F.size("s"))
     rare = shared.where(room > 0).select("root", "label", F.explode(F.slice("s", F.lit(1), room.cast("int"))).alias("x"))
     rare = store.materialize(rare.select("root", "label", F.col("x.token").alias("token")).distinct(), "jaccard-rare")
-    late = _linked_groups(_pairs(rare).distinct().join(pairs, ["a", "b"], "left_anti"), groups, t)
+    met = _pairs(rare)
+    late = _linked_groups(met.where("lead IS NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), groups, t)
+    late = late.union(_linked_families(met.where("lead IS NOT NULL").select("lead", F.col("a").alias("root")), groups, roots, t))
     if late.isEmpty():
         return roots
     return _with_labels(groups, edges.union(late)).select("root", "label")
