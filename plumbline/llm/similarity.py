@@ -34,7 +34,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 class Shingler:
     """Sets of word shingles as sorted distinct 64-bit hashes; words are hashed once and kept."""
 
-    def __init__(self, k: int, max_cached: int = 300_000):
+    def __init__(self, k: int, max_cached: int = 200_000):
         self.k, self.max_cached, self.cache = k, max_cached, {}
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
@@ -131,7 +131,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(take(0).view("<u4").ravel(), dtype=np.uint32), take(4 * n).view("<i4").ravel()
 
 
-def _scan(docs: DataFrame, k: int, share: float, n_ranges: int, max_tokens: int = 1_500_000) -> DataFrame:
+def _scan(docs: DataFrame, k: int, share: float, n_ranges: int, max_tokens: int = 750_000) -> DataFrame:
     """A row for each document, and blocks of sampled tokens by range of the token space.
 
     A token that two different sets of a block have is shared whatever other blocks hold, so

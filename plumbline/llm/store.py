@@ -13,6 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +36,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_dir(spark, tag)
-    df.write.parquet(path)
+    # whole texts and sets go to the Python workers; batches of fewer rows bound what is held at once
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), 1000)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
