@@ -95,7 +95,7 @@ def by_key(df: DataFrame, keys: list[str], fn: Callable[[list[dict]], Iterator[t
             return done
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at_row in range(0, batch.num_rows, 32) for r in batch.slice(at_row, 32).to_pylist()):
                 key = tuple(row[k] for k in keys)
                 if group and key != at:
                     out.extend(fn(group))
@@ -478,7 +478,7 @@ def _linked_families(members: DataFrame, groups: DataFrame, roots: DataFrame, t:
                 x = top[x]
             return x
 
-        for i, j in _links_within(sets, t, columns=max(512, min(16384, 16_000_000 // len(sets)))):
+        for i, j in _links_within(sets, t, columns=max(512, min(16384, 4_000_000 // len(sets)))):
             a, b = rows[owner[i]], rows[owner[j]]
             x, y = find(a["label"]), find(b["label"])
             if x != y:
