@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -21,20 +23,56 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return left.select(left_id).join(best, left_id, "left").select(left_id, F.col(f"m.{right_id}").alias(right_id), F.col("m.distance").alias("distance"))
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, dims: list[str]) -> DataFrame:
-    """The k nearest of a set that fits one executor, for any number of queries; ties to the smaller id."""
-    d2 = sum(((F.col(f"q.{d}") - F.col(f"p.{d}")) * (F.col(f"q.{d}") - F.col(f"p.{d}")) for d in dims), F.lit(0.0))
-    pairs = queries.alias("q").join(points.alias("p"), F.col("q.id") != F.col("p.id")).select(F.col("q.id").alias("id"), F.col("p.id").alias("near"), d2.alias("d2"))
-    w = W.partitionBy("id").orderBy("d2", "near")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def knn(queries: DataFrame, points: DataFrame, k: int, dims: list[str], save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, near, rank): the k nearest points of each query other than itself, ties to the smaller id.
+
+    Queries meet the points of their own cell and its neighbours. Whoever has k points within
+    one cell's width is done; the others go on with cells twice as wide, and the last round's
+    cells hold all points. Fewer than k points give fewer rows; rows with a null place take no part.
+    """
+    known = " AND ".join(f"{d} IS NOT NULL" for d in dims)
+    queries, points = queries.where(known).select("id", *dims), points.where(known).select("id", *dims)
+    ends = points.unionByName(queries).agg(*[f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    total = points.count()
+    if not total or ends["lo" + dims[0]] is None:
+        return queries.select("id", F.col("id").alias("near"), F.lit(1).alias("rank")).limit(0)
+    extent = max(ends[f"hi{d}"] - ends[f"lo{d}"] for d in dims) or 1.0
+    size, done = extent * min(1.0, (k / total) ** (1 / len(dims))), None
+    while True:
+        cells = lambda c: [F.floor((F.col(d) - ends[f"lo{d}"]) / size).cast("long").alias(f"__{d}") for d in c]  # noqa: E731, B023
+        q = queries.select("id", *dims, *cells(dims))
+        for d in dims:
+            q = q.withColumn(f"__{d}", F.explode(F.array(*[F.col(f"__{d}") + s for s in (-1, 0, 1)])))
+        p = points.select(F.col("id").alias("near"), *[F.col(d).alias(f"p{d}") for d in dims], *cells(dims))
+        d2 = sum(((F.col(d) - F.col(f"p{d}")) * (F.col(d) - F.col(f"p{d}")) for d in dims), F.lit(0.0))
+        near = q.join(p, [f"__{d}" for d in dims]).where("id <> near").select("id", "near", d2.alias("d2"))
+        ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d2", "near"))).where(F.col("rank") <= k)
+        if size >= extent:  # neighbouring cells hold every point
+            return ranked.select("id", "near", "rank") if done is None else done.unionByName(ranked.select("id", "near", "rank"))
+        ranked = save(ranked)
+        full = ranked.where((F.col("rank") == k) & (F.col("d2") < size * size)).select("id")
+        found = ranked.join(full, "id", "left_semi").select("id", "near", "rank")
+        done = found if done is None else done.unionByName(found)
+        queries = save(queries.join(full, "id", "left_anti"))
+        if queries.isEmpty():
+            return done
+        size *= 2
+
 
+def overlaps(rows: DataFrame, key: str, id_: str, start: str, end: str, share: float = 0.5, width: float = 1.0) -> DataFrame:
+    """Pairs of a key's intervals that overlap by ``share`` of the shorter one or more.
 
-def overlaps(rows: DataFrame, key: str, id_: str, start: str, end: str, share: float = 0.5) -> DataFrame:
-    """Pairs of a key's intervals that overlap by ``share`` of the shorter one or more."""
-    a, b = rows.select(key, F.col(id_).alias("a"), F.col(start).alias("a0"), F.col(end).alias("a1")), rows.select(key, F.col(id_).alias("b"), F.col(start).alias("b0"), F.col(end).alias("b1"))
+    Intervals meet in stretches of ``width`` that both touch, so a key with many intervals
+    does not pair them all; a pair counts in the stretch where the later one starts.
+    """
+    first, last = F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long")
+    d = rows.where((F.col(end) >= F.col(start))).select(key, id_, start, end, F.explode(F.sequence(first, last)).alias("__b"))
+    a = d.select(key, "__b", F.col(id_).alias("a"), F.col(start).alias("a0"), F.col(end).alias("a1"))
+    b = d.select(key, "__b", F.col(id_).alias("b"), F.col(start).alias("b0"), F.col(end).alias("b1"))
     shared = F.least("a1", "b1") - F.greatest("a0", "b0")
     shorter = F.least(F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0"))
-    return a.join(b, key).where((F.col("a") < F.col("b")) & (shared >= share * shorter) & (shared > 0)).select(key, "a", "b", shared.alias("shared"))
+    once = F.floor(F.greatest("a0", "b0") / width).cast("long") == F.col("__b")
+    return a.join(b, [key, "__b"]).where((F.col("a") < F.col("b")) & once & (shared >= share * shorter) & (shared > 0)).select(key, "a", "b", shared.alias("shared"))
 
 
 def pair_overlaps(sets: DataFrame, owner: str, item: list[str]) -> DataFrame:

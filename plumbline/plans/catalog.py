@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.functions.tables import writer
 from plumbline.operators import cloud, grid, robust, rules, sequence, spatial
 
 _QUERIES: dict = {}
@@ -283,7 +284,7 @@ _SPANS = "(SELECT o_custkey, o_orderkey, epoch(o_orderdate) / 86400 AS a, epoch(
 def q31_interval_overlap(spark, sf):
     day = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 86_400_000_000
     d = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", day.alias("a"), (day + 30 + F.col("o_orderkey") % 60).alias("z"))
-    return spatial.overlaps(d, "o_custkey", "o_orderkey", "a", "z").withColumn("shared", F.round("shared", 6))
+    return spatial.overlaps(d, "o_custkey", "o_orderkey", "a", "z", width=64.0).withColumn("shared", F.round("shared", 6))
 
 
 @query(f"SELECT chunk, round(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)), 6) AS angle, round(avg(x), 6) AS mx, round(avg(y), 6) AS my FROM {CLOUD} GROUP BY chunk")
@@ -308,7 +309,7 @@ def q33_plane_support(spark, sf):
 def q34_knn(spark, sf):
     e = [F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyz")]
     d = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", *e)
-    return spatial.knn(d.where("label = 0"), d.where("label = 1"), 8, ["x", "y", "z"]).select("id", "near", F.col("rank").cast("int").alias("rank"))
+    return spatial.knn(d.where("label = 0"), d.where("label = 1"), 8, ["x", "y", "z"], writer(spark, "knn")).select("id", "near", "rank")
 
 
 @query(f"SELECT ix, iz, chunk, n FROM (SELECT ix, iz, chunk, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY ix, iz ORDER BY count(*) DESC, chunk) AS r FROM {CELLS} GROUP BY ix, iz, chunk) WHERE r = 1")
@@ -381,22 +382,9 @@ _PATCH = f"(SELECT ix, iz FROM (SELECT floor(x/2.0)::BIGINT AS ix, floor(y/1.0):
 @query(f"""WITH RECURSIVE c AS MATERIALIZED {_PATCH}, w AS (SELECT ix, iz, iz * 100000 + ix AS label FROM c UNION SELECT c.ix, c.iz, w.label FROM w JOIN c ON abs(w.ix - c.ix) <= 1 AND abs(w.iz - c.iz) <= 1 WHERE w.label < c.iz * 100000 + c.ix)
 SELECT label // 100000 AS lz, label % 100000 AS lx, count(*)::BIGINT AS cells FROM (SELECT ix, iz, min(label) AS label FROM w GROUP BY 1, 2) GROUP BY 1, 2""")
 def q45_components(spark, sf):
-    import uuid
-
     d = _cloud(spark, sf).where("chunk = 7").select(cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 1.0).alias("iz"))
     d = grid.cell_counts(d, ["ix", "iz"]).where("n >= 2")
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="plumbline-")
-
-    def save(df):
-        path = f"{base}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    out = grid.components(d, save)
+    out = grid.components(d, writer(spark, "components"))
     return out.groupBy(F.col("label.iz").alias("lz"), F.col("label.ix").alias("lx")).agg(F.count("*").alias("cells"))
 
 
