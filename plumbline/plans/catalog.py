@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.tables import writer
-from plumbline.operators import cloud, grid, robust, rules, sequence, spatial
+from plumbline.operators import cloud, drift, findings, grid, placing, planes, robust, rules, sequence, spatial
+from plumbline.streaming import keyframes
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -412,6 +413,117 @@ def q48_tolerance_gates(spark, sf):
     return d.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(error <= 0.03 * F.col("p_retailprice")).alias("passed"), F.round(F.median(error), 6).alias("error"))
 
 
+def _boxes(spark, sf):
+    """Suppliers as rooms: capture, room and the box x, y, w, h in whole metres."""
+    k = F.col("s_suppkey")
+    d = _t(spark, sf, "supplier").select(F.col("s_nationkey").cast("string").alias("capture"), k.cast("string").alias("room"), (k * 7 % 50).cast("double").alias("x"), F.floor(F.col("s_acctbal") / 500).cast("double").alias("y"), (3 + k % 5).cast("double").alias("w"), (2 + k % 3).cast("double").alias("h"))
+    corner = lambda a, b: F.struct((F.col("x") + a * F.col("w")).alias("x"), (F.col("y") + b * F.col("h")).alias("y"))
+    ring = [corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)]
+    e = d.select("capture", "room", F.posexplode(F.array(*[F.struct(p.alias("p"), q.alias("q")) for p, q in zip(ring, ring[1:] + ring[:1])])).alias("seq", "s"))
+    e = e.select("capture", "room", "seq", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"))
+    doors = d.select("capture", "room", F.lit(0).alias("seq"), F.concat(F.lit("o"), "room").alias("opening"), (F.col("x") + F.col("w")).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"), F.lit(0.9).alias("width"))
+    return e, doors
+
+
+BOXES = "(SELECT s_nationkey::VARCHAR AS capture, s_suppkey::VARCHAR AS room, (s_suppkey * 7 % 50)::DOUBLE AS x, floor(s_acctbal / 500)::DOUBLE AS y, (3 + s_suppkey % 5)::DOUBLE AS w, (2 + s_suppkey % 3)::DOUBLE AS h FROM supplier)"
+
+
+@query(f"SELECT capture, round(count(*) * 0.25, 4) AS area FROM (SELECT DISTINCT capture, i, j FROM (SELECT capture, unnest(range((2 * x)::BIGINT, (2 * (x + w))::BIGINT)) AS i, y, h FROM {BOXES}), LATERAL (SELECT unnest(range((2 * y)::BIGINT, (2 * (y + h))::BIGINT)) AS j)) GROUP BY capture")
+def q49_footprint(spark, sf):
+    return placing.footprint(placing.floor_runs(_boxes(spark, sf)[0], 0.5), 0.5).select("capture", F.round("area", 4).alias("area"))
+
+
+@query(f"""SELECT capture, a, b, round(s, 4) AS area FROM (SELECT p.capture, p.room AS a, q.room AS b, greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) AS s
+FROM {BOXES} p JOIN {BOXES} q ON p.capture = q.capture AND p.room < q.room) WHERE s > 0.1""")
+def q50_room_overlaps(spark, sf):
+    return placing.overlaps(placing.floor_runs(_boxes(spark, sf)[0], 0.5), cell=0.5).withColumn("area", F.round("area", 4))
+
+
+@query(f"""WITH b AS {BOXES}, d AS (SELECT capture, room, 'o' || room AS opening, x + w AS x, y + h / 2 AS y FROM b),
+s AS (SELECT capture, room, x AS x0, y AS y0, x + w AS x1, y AS y1 FROM b UNION ALL SELECT capture, room, x, y + h, x + w, y + h FROM b UNION ALL SELECT capture, room, x, y, x, y + h FROM b UNION ALL SELECT capture, room, x + w, y, x + w, y + h FROM b),
+n AS (SELECT d.capture, d.room, s.room AS other, min(sqrt(pow(d.x - least(x1, greatest(x0, d.x)), 2) + pow(d.y - least(y1, greatest(y0, d.y)), 2))) AS gap FROM d JOIN s ON d.capture = s.capture AND d.room <> s.room GROUP BY 1, 2, 3),
+m AS (SELECT capture, room, arg_min(other, (gap, other)) AS other, min(gap) AS gap FROM n WHERE gap <= 1.5 GROUP BY 1, 2)
+SELECT d.capture, d.room, d.opening, m.other, round(m.gap, 6) AS gap, EXISTS (SELECT 1 FROM d t WHERE t.capture = d.capture AND t.room = m.other AND sqrt(pow(t.x - d.x, 2) + pow(t.y - d.y, 2)) <= 0.5) AS mutual FROM d LEFT JOIN m ON d.capture = m.capture AND d.room = m.room""")
+def q51_adjacency(spark, sf):
+    e, doors = _boxes(spark, sf)
+    return placing.adjacency(doors, e).withColumn("gap", F.round("gap", 6))
+
+
+_KINDS = ["wall", "ceiling", "floor"]
+
+
+def _damage(spark, sf):
+    """Order lines as damaged regions of two rooms an order, 0.3 m apart, and one long wall of each room."""
+    k = F.col("l_linenumber")
+    pick = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(c, F.lit(len(names))) + 1).cast("int"))
+    room = F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b")
+    kind = pick(_KINDS, F.col("l_suppkey") + k)
+    d = _t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("capture"), room.alias("room"), F.concat_ws(".", k, "l_partkey", "l_suppkey").alias("id"), kind.alias("kind"), F.when(kind == "wall", F.concat(room, F.lit("_w0"))).otherwise(F.concat(room, F.lit("_"), kind)).alias("surface"),
+        pick([c for c, _, _ in findings.ACTIONS], F.col("l_partkey")).alias("class"), (F.col("l_quantity") / 12.5).alias("x"), (F.col("l_discount") * 15).alias("y"), (F.col("l_tax") * 10).alias("length"), (F.col("l_extendedprice") / 1e5).alias("area"),
+    )
+    d = d.withColumns({"lo": F.col("area") * 0.9, "hi": F.col("area") * 1.1})
+    off = F.when(F.col("room") == "b", 0.3).otherwise(0.0)
+    walls = d.select("capture", "room").distinct().select("capture", "room", F.concat("room", F.lit("_w0")).alias("wall"), F.lit(0.0).alias("x0"), off.alias("y0"), F.lit(4.0).alias("x1"), off.alias("y1"))
+    return d, walls
+
+
+def _case(names, column):
+    return "CASE (" + column + f") % {len(names)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+DAMAGE = f"""d AS (SELECT *, CASE kind WHEN 'wall' THEN room || '_w0' ELSE room || '_' || kind END AS surface, CASE room WHEN 'b' THEN 0.3 ELSE 0.0 END::DOUBLE AS off FROM
+(SELECT l_orderkey::VARCHAR AS capture, CASE l_suppkey % 2 WHEN 0 THEN 'a' ELSE 'b' END AS room, l_linenumber || '.' || l_partkey || '.' || l_suppkey AS id, {_case(_KINDS, 'l_suppkey + l_linenumber')} AS kind, {_case([c for c, _, _ in findings.ACTIONS], 'l_partkey')} AS class,
+l_quantity / 12.5 AS x, l_discount * 15 AS y, l_tax * 10 AS length, l_extendedprice / 1e5 AS area FROM lineitem)),
+leak AS (SELECT w.capture, w.room, w.kind, w.surface, w.id, string_agg(c.id, ',' ORDER BY c.id) AS above FROM d w JOIN d c ON w.capture = c.capture AND w.room = c.room AND w.kind = 'wall' AND c.kind = 'ceiling' AND w.class = 'water_stain' AND c.class = 'water_stain' AND sqrt(pow(w.x - c.x, 2) + pow(w.off - c.y, 2)) <= 0.8 GROUP BY ALL),
+f AS ({" UNION ALL ".join(f"SELECT capture, room, '{n}' AS rule, kind, surface, id AS ids, NULL AS other FROM d WHERE {c}" for n, c in findings.OWN_RULES)}
+UNION ALL SELECT capture, room, 'wall_stain_under_ceiling_stain', kind, surface, id || ',' || above, NULL FROM leak
+UNION ALL SELECT capture, room, 'stain_on_shared_wall', kind, surface, id, CASE room WHEN 'a' THEN 'b' ELSE 'a' END FROM d w WHERE kind = 'wall' AND class = 'water_stain' AND sqrt(pow(greatest(0, w.x - 4), 2) + 0.09) <= 0.4 AND EXISTS (SELECT 1 FROM d o WHERE o.capture = w.capture AND o.room <> w.room))"""
+
+
+@query(f"WITH {DAMAGE} SELECT capture, room, rule, kind, surface, ids, other FROM f")
+def q52_concealed_flags(spark, sf):
+    f = findings.concealed(*_damage(spark, sf))
+    return f.select("capture", "room", "rule", "kind", "surface", F.array_join("damage_ids", ",").alias("ids"), "other")
+
+
+@query(f"""WITH {DAMAGE}, a(class, action, unit) AS (VALUES {", ".join(f"('{c}', '{x}', '{u}')" for c, x, u in findings.ACTIONS)}),
+i AS (SELECT DISTINCT capture, room, kind, surface, unnest(string_split(ids, ',')) AS id FROM f), s AS (SELECT capture, room, kind, surface, sum(area) AS v FROM d JOIN i USING (capture, room, kind, surface, id) GROUP BY ALL)
+SELECT action, unit, count(*)::BIGINT AS n, round(sum(CASE unit WHEN 'm' THEN length ELSE area END), 4) AS quantity FROM d JOIN a USING (class) GROUP BY 1, 2 UNION ALL SELECT '{findings.INSPECT}', 'm2', count(*)::BIGINT, round(sum(v), 4) FROM s HAVING count(*) > 0""")
+def q53_scope_lines(spark, sf):
+    d, walls = _damage(spark, sf)
+    return findings.scope(d, findings.concealed(d, walls)).groupBy("action", "unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("quantity"))
+
+
+@query("SELECT user_id AS clip, date_trunc('day', ts)::DATE AS day, arg_max(event_id, (value, -epoch_us(ts), -event_id)) AS frame, max(value) AS sharpness FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2")
+def q54_sharpest_frames(spark, sf):
+    d = _t(spark, sf, "events").select(F.col("user_id").alias("clip"), "ts", F.col("event_id").alias("frame"), F.col("value").alias("sharpness"))
+    return keyframes.sharpest(d, "1 day").select("clip", F.to_date("start").alias("day"), "frame", "sharpness")
+
+
+@query()
+def q55_track(spark, sf):
+    """Each user's values followed from event to event: a track depends on all frames before."""
+    d = _t(spark, sf, "events").select(F.col("user_id").alias("clip"), "ts", F.col("value").alias("x"), (F.col("event_id") % 10).cast("double").alias("y"), F.col("value").alias("length"))
+    return keyframes.track(d, reach=200.0)
+
+
+@query()
+def q56_planes(spark, sf):
+    """Planes of the embeddings' first three dimensions: each is sought among the points that the last one left."""
+    d = _t(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")])
+    found = planes.fit_planes(d, thresh=0.05, tries=100)
+    return spark.createDataFrame([(k, *map(float, p.normal), p.offset, p.support) for k, p in enumerate(found)], "plane int, nx double, ny double, nz double, offset double, support long")
+
+
+@query()
+def q57_drift(spark, sf):
+    """Corrections of the cloud's chunks: pairs are laid on each other again and again."""
+    d = _cloud(spark, sf).select(F.lit("lineitem").alias("capture"), (F.col("chunk") - 1).alias("chunk"), (F.col("x") / 10).alias("x"), (F.col("z") / 5).alias("y"), (F.col("y") / 20).alias("z"))
+    floor = spark.createDataFrame([("lineitem", -0.25)], "capture string, floor double")
+    return drift.estimate(drift.wall_cells(d, floor), 7)
+
+
 @query(f"""WITH v AS (SELECT chunk, floor(x/2.0)::BIGINT AS ix, floor(y/2.0)::BIGINT AS iy, floor(z/1.0)::BIGINT AS iz, count(*) AS n, avg(y) AS my FROM {CLOUD} GROUP BY ALL)
 SELECT chunk, ix, iy, count(*)::BIGINT AS bands, sum(n)::BIGINT AS n, round(max(my), 6) AS top FROM v GROUP BY ALL HAVING count(*) >= 3""")
 def flagship_voxel_bands(spark, sf):

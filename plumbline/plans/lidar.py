@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.operators import cloud, sequence
+from plumbline.operators import cloud, drift, sequence
 from plumbline.operators.outline import Params, rooms
-from plumbline.plans import contract
+from plumbline.plans import contract, stitching
 from plumbline.sources import captures
 
 #: Height bands of walls: from 0.25 m above the floor, 0.15 m each.
@@ -269,8 +269,12 @@ def plan(cloud_: DataFrame, path: DataFrame, save, tier: str = "lidar", reps: in
     )
 
 
-def run(spark: SparkSession, root: str, save, **options) -> DataFrame:
-    """The documents of all captures below ``root``, which may be a glob."""
+def run(spark: SparkSession, root: str, save, correct_drift: bool = True, **options) -> DataFrame:
+    """The documents of all captures below ``root``, which may be a glob, with what their rooms make together."""
     chunks = options.get("chunks", 20)
     c, path = points(spark, root, chunks=chunks)
-    return plan(c, path, save, **options)
+    if correct_drift:
+        c = save(c)
+        shifts = save(drift.estimate(drift.wall_cells(c, floors(c)), chunks))
+        c, path = drift.correct(c, shifts), drift.correct(path, shifts)
+    return stitching.describe(save(plan(c, path, save, **options)))

@@ -48,11 +48,17 @@ def test_two_rooms_and_their_door(plans):
     assert all(o["centre"]["x"] == pytest.approx(4, abs=0.05) and o["centre"]["y"] == pytest.approx(-2, abs=0.05) for o in doors)
 
 
+def test_stitching(plans):
+    s = plans[0]["two"]["stitching"]
+    assert s["footprint"]["value"] == pytest.approx(28, rel=0.02) and s["footprint"]["lo"] < 28 < s["footprint"]["hi"]
+    assert {(k["room"], k["other"], k["mutual"]) for k in s["links"]} == {("room_0", "room_1", True), ("room_1", "room_0", True)} and s["overlaps"] == []
+
+
 def test_document_keeps_nulls_and_drawing(plans, tmp_path):
     contract.write(plans[1], str(tmp_path / "plan"))
     lines = [json.loads(line) for f in (tmp_path / "plan").glob("*.json") for line in f.read_text().splitlines()]
     assert {d["capture"] for d in lines} == {"rect", "open", "two"}
-    assert all("stitching" in d and d["stitching"] is None for d in lines)
+    assert all("note" in r["ceiling_height"] and r["damage"] == [] for d in lines for r in d["rooms"])
     svg = {r["capture"]: r["svg"] for r in contract.drawing(plans[1]).collect()}
     assert svg["rect"].count("<polygon") == 1 and svg["two"].count("orange") == 2
     assert {r["class"] for r in contract.summary(plans[1]).collect()} == {None}
