@@ -60,10 +60,10 @@ def q02_chunk_voxels(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_linenumber, round((l_linenumber * 10 - 127.4) * q / 213.05, 6) AS cam_x, round((l_quantity - 95.7) * q / 213.05, 6) AS cam_y, round(q, 6) AS cam_z
-FROM (SELECT *, l_extendedprice / 20000 AS q FROM lineitem) WHERE q BETWEEN 0.3 AND 4.0 AND l_linenumber >= 2""")
+FROM (SELECT *, l_extendedprice / 30000 AS q FROM lineitem) WHERE q BETWEEN 0.3 AND 4.0 AND l_linenumber >= 2""")
 def q03_back_projection(spark, sf):
     d = _t(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", (F.col("l_linenumber") * 10).alias("u"), F.col("l_quantity").alias("v"), (F.col("l_extendedprice") / 20000).alias("z"), F.col("l_linenumber").alias("conf"),
+        "l_orderkey", "l_linenumber", (F.col("l_linenumber") * 10).alias("u"), F.col("l_quantity").alias("v"), (F.col("l_extendedprice") / 30000).alias("z"), F.col("l_linenumber").alias("conf"),
         F.lit(213.05).alias("fx"), F.lit(213.05).alias("fy"), F.lit(127.4).alias("cx"), F.lit(95.7).alias("cy"),
     )
     d = cloud.back_project(cloud.confident(d))
