@@ -21,9 +21,6 @@ _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases of the base and their labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: A text without any of these, in lower case, is shown to no rule.
-ANCHORS = ("licen", "gpl", "spdx", "creative commons", "cc by", "cc0", "rights reserved", "public domain", "copyleft", "copyright", "creativecommons", "unlicense", "wtfpl", "proprietary", "warrant")
-
 #: SPDX label; keyword; name as a regex over words; words of the license's address, if it has one.
 FAMILIES = """
 Apache-1.0; apache; apache (?:software )?license(?: version)? 1 0; apache org licenses license 1 0
@@ -213,15 +210,20 @@ def _words_before(prefix: Column) -> Column:
     return (F.size(F.split(prefix, " ", -1)) - 1).cast("long")
 
 
-def _base(docs: DataFrame, text: str) -> DataFrame:
-    """rid, the caller's columns, n_words and the base; norm for texts with an anchor, else null."""
+def keywords(found_rules: list[LicenseRule]) -> list[str]:
+    """What a text must hold one of, in lower case, to be shown to any rule or base phrase."""
+    return sorted({r.keyword for r in found_rules} | {phrase for phrase, _ in BASE_PHRASES})
+
+
+def _base(docs: DataFrame, text: str, found_rules: list[LicenseRule]) -> DataFrame:
+    """rid, the caller's columns, n_words and the base; norm for texts with a keyword, else null."""
     d = docs.select("*", F.monotonically_increasing_id().alias("__rid"))
     d = d.withColumn("__w", F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _BREAK, -1), ""))
     d = d.withColumn("n_words", F.size("__w").cast("long")).withColumn("__norm", F.array_join("__w", " "))
     d = d.withColumn("__low", F.lower("__norm"))
     gate = F.lit(False)
-    for a in ANCHORS:
-        gate = gate | F.contains("__low", F.lit(a))
+    for keyword in keywords(found_rules):
+        gate = gate | F.contains("__low", F.lit(keyword))
     d = d.withColumn("__norm", F.when(gate, F.col("__norm"))).drop("__w", "__low", text)
     norm, count, first, last, labels = F.col("__norm"), [], [], [], []
     for phrase, label in BASE_PHRASES:
@@ -277,7 +279,7 @@ def scan(docs: DataFrame, text: str = "text", found_rules: list[LicenseRule] | N
     """
     found_rules = rules() if found_rules is None else found_rules
     own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    rows = store.materialize(_base(docs.drop(*own), text), "licenses")
+    rows = store.materialize(_base(docs.drop(*own), text, found_rules), "licenses")
     per_row = (
         detections(rows, found_rules).where(~F.col("suppressed"))
         .groupBy("__rid").agg(F.collect_set("label").alias("__more"), F.max("weight").alias("__weight"))
