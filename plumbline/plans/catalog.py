@@ -524,6 +524,31 @@ def q57_drift(spark, sf):
     return drift.estimate(drift.wall_cells(d, floor), 7)
 
 
+# q25, q27, q45 and q47 keep to the chunks of their SQL; these do every chunk and every two of them
+@query()
+def q58_chunk_ious(spark, sf):
+    return grid.pair_ious(_cells(spark, sf), "chunk", ["ix", "iz"])
+
+
+@query()
+def q59_chunk_cell_sets(spark, sf):
+    return grid.pair_cell_sets(_cells(spark, sf), "chunk", ["ix", "iz"])
+
+
+@query()
+def q60_chunk_components(spark, sf):
+    d = _cloud(spark, sf).select("chunk", cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 1.0).alias("iz"))
+    d = grid.cell_counts(d, ["chunk", "ix", "iz"]).where("n >= 2")
+    out = grid.components(d, writer(spark, "components"), by=("chunk",))
+    return out.groupBy("chunk", F.col("label.iz").alias("lz"), F.col("label.ix").alias("lx")).agg(F.count("*").alias("cells"))
+
+
+@query()
+def q61_chunk_morphology(spark, sf):
+    c, by = _cells(spark, sf).distinct(), ("chunk",)
+    return grid.dilate(c, by=by).withColumn("kind", F.lit("dilated")).unionByName(grid.erode(c, by=by).withColumn("kind", F.lit("eroded")))
+
+
 @query(f"""WITH v AS (SELECT chunk, floor(x/2.0)::BIGINT AS ix, floor(y/2.0)::BIGINT AS iy, floor(z/1.0)::BIGINT AS iz, count(*) AS n, avg(y) AS my FROM {CLOUD} GROUP BY ALL)
 SELECT chunk, ix, iy, count(*)::BIGINT AS bands, sum(n)::BIGINT AS n, round(max(my), 6) AS top FROM v GROUP BY ALL HAVING count(*) >= 3""")
 def flagship_voxel_bands(spark, sf):
