@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample; every vector is indexed in a leaf. A query walks the
 tree through a priority queue and visits leaves best first; how many is widened on held-out
-sample queries until their recall reaches the target.
+sample queries until their recall reaches the target. A query whose leaves hold too few
+vectors goes on to further leaves.
 """
 
 from __future__ import annotations
@@ -72,14 +73,18 @@ class Tree:
                 todo += [(int(c), rows[part == i]) for i, c in enumerate(self.children[node])]
         return out
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves of a best-bin-first walk from the root."""
+    def visit(self, q: np.ndarray, leaves: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``leaves`` leaves of a best-bin-first walk from the root.
+
+        With the leaves' ``sizes``, as many more as it takes until they hold ``least`` entries.
+        """
         heap, found = [(0.0, 0, self.root)], []
-        order = 0
-        while heap and len(found) < leaves:
+        order = held = 0
+        while heap and (len(found) < leaves or sizes is not None and held < least):
             _, _, node = heapq.heappop(heap)
             if node < 0:
                 found.append(-1 - node)
+                held += 0 if sizes is None else int(sizes[-1 - node])
                 continue
             for near, child in zip(self.centres[node] @ q, self.children[node]):
                 order += 1
@@ -186,6 +191,11 @@ def nearest(
             x = _unit(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind).reshape(-1, dim))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grown.leaf_of(x))], names=["vec", "ids", "leaf"])
 
+    index = store.materialize(distinct.mapInArrow(assign, "vec binary, ids array<long>, leaf long"), "ann-index")
+    sizes = np.zeros(tree.n_leaves, dtype=np.int64)
+    for r in index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():  # max_fit / 8 rows at most
+        sizes[r["leaf"]] = r["n"]
+
     def route(batches):
         grown = pickle.loads(shared.value)
         for batch in batches:
@@ -193,20 +203,19 @@ def nearest(
             for at in range(0, len(vecs), 512):
                 part = vecs[at : at + 512]
                 x = _unit(np.frombuffer(b"".join(part), dtype=kind).reshape(-1, dim))
-                to = [grown.visit(q, visits) for q in x]
+                to = [grown.visit(q, visits, sizes, k + 1) for q in x]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v for v, t in zip(part, to) for _ in t], pa.binary()), pa.array([i for t in to for i in t], pa.int64())], names=["vec", "leaf"]
                 )
 
-    index = store.materialize(distinct.mapInArrow(assign, "vec binary, ids array<long>, leaf long"), "ann-index")
     probes = store.materialize(asked.select("vec").distinct().mapInArrow(route, "vec binary, leaf long"), "ann-probes")
     # leaves and their queries are cut into blocks, so that no leaf is one task's burden
     parts = index.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("long").alias("n_in"))
     askers = probes.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("long").alias("n_q"))
-    sizes = F.broadcast(parts.join(askers, "leaf"))  # one row a leaf, max_fit / 8 at most
+    blocks = F.broadcast(parts.join(askers, "leaf"))  # one row a leaf, max_fit / 8 at most
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = probes.join(sizes, "leaf").withColumn("q", F.pmod(F.xxhash64("vec"), F.col("n_q"))).withColumn("b", upto("n_in")).select("leaf", "b", "q", "vec")
-    right = index.join(sizes, "leaf").withColumn("b", F.pmod(F.xxhash64("vec"), F.col("n_in"))).withColumn("q", upto("n_q")).select("leaf", "b", "q", "vec", "ids")
+    left = probes.join(blocks, "leaf").withColumn("q", F.pmod(F.xxhash64("vec"), F.col("n_q"))).withColumn("b", upto("n_in")).select("leaf", "b", "q", "vec")
+    right = index.join(blocks, "leaf").withColumn("b", F.pmod(F.xxhash64("vec"), F.col("n_in"))).withColumn("q", upto("n_q")).select("leaf", "b", "q", "vec", "ids")
 
     def compare(asks: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -1,9 +1,12 @@
 """Operators do the whole job: what an earlier cut of each left out."""
 
 import re
+from collections import Counter
 from re import _parser
 
-from plumbline.llm import licenses
+import numpy as np
+
+from plumbline.llm import ann, licenses
 
 
 def shortest(pattern):
@@ -46,3 +49,33 @@ def test_license_texts_without_the_word(spark):
     }
     docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumnRenamed("text", "said").selectExpr("said", "said AS text")
     assert {r.said: r.labels for r in licenses.scan(docs).collect()} == texts
+
+
+def clustered(n_alone=300, seed=2):
+    """Vectors of 64 dimensions: tight clusters, and vectors far from all others."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(80, 64))
+    near = (centres[:, None] + 0.05 * rng.normal(size=(80, 250, 64))).reshape(-1, 64)
+    return np.concatenate([near, rng.normal(size=(n_alone, 64))])
+
+
+def test_every_ann_query_has_its_neighbours(spark):
+    x = clustered()
+    # queries are the vectors that stand alone, and some of the clusters'
+    ids = [50 * i for i in range(len(x) - 300, len(x))]
+    rows = [((i * 50) if i >= len(x) - 300 or i % 400 == 0 else i * 50 + 1, v.tolist()) for i, v in enumerate(x)]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    n = Counter(r.query_id for r in found)
+    assert set(ids) <= set(n) and set(n.values()) == {5}
+
+
+def test_walk_goes_on_until_leaves_hold_enough():
+    x = clustered()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = ann.Tree(x, 256)
+    sizes = np.bincount(tree.leaf_of(x), minlength=tree.n_leaves)
+    sizes[sizes > 0] = np.where(np.arange((sizes > 0).sum()) % 2, 1, 2)  # leaves that hold next to nothing
+    for q in x[-300:]:
+        few, more = tree.visit(q, 1), tree.visit(q, 1, sizes, 6)
+        assert more[:1] == few and sizes[more].sum() >= 6 > sizes[more[:-1]].sum()
+    assert sorted(tree.visit(x[0], 1, sizes, 1 << 40)) == list(range(tree.n_leaves))
