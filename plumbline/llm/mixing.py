@@ -54,22 +54,23 @@ def rake(cells: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray],
     return w
 
 
-def rake_table(cells: DataFrame, goals: list[DataFrame], rounds: int = 30, tol: float = 1e-6) -> DataFrame:
-    """``rake`` for more cells than the driver should hold; a written table ends each round.
+def rake_table(cells: DataFrame, goals: list[DataFrame], rounds: int = 200, tol: float = 1e-9) -> DataFrame:
+    """``rake`` for more cells than the driver should hold, with its rounds and its tolerance; a written table ends each round.
 
     ``cells``: the axes and ``tokens``; ``goals[a]``: axis a and ``want``. Adds ``share``.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     d = store.materialize(cells.withColumn("share", F.col("tokens") / F.lit(total)), "rake")
     for _ in range(rounds):
-        before = d
+        d = d.withColumn("off", F.lit(0.0))
         for axis, goal in zip(AXES, goals):
-            factor = d.groupBy(axis).agg(F.sum("share").alias("have")).join(goal, axis, "left")
-            factor = factor.select(axis, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("by"))
-            d = d.join(factor, axis).withColumn("share", F.col("share") * F.col("by")).drop("by")
+            factor = d.groupBy(axis).agg(F.sum("share").alias("have")).join(goal, axis, "left").withColumn("want", F.coalesce("want", F.lit(0.0)))
+            factor = factor.select(axis, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("by"), F.abs(F.col("have") - F.col("want")).alias("by_off"))
+            d = d.join(factor, axis).withColumns({"share": F.col("share") * F.col("by"), "off": F.greatest("off", "by_off")}).drop("by", "by_off")
         d = store.materialize(d, "rake")
-        moved = d.join(before.withColumnRenamed("share", "was").drop("tokens"), list(AXES)).agg(F.sum(F.abs(F.col("share") - F.col("was")))).first()[0]
-        if moved is None or moved < tol:
+        off = d.agg(F.max("off")).first()[0]
+        d = d.drop("off")
+        if off is None or off < tol:
             break
     return d
 

@@ -6,7 +6,7 @@ from re import _parser
 
 import numpy as np
 
-from plumbline.llm import ann, licenses
+from plumbline.llm import ann, licenses, mixing
 
 
 def shortest(pattern):
@@ -79,3 +79,14 @@ def test_walk_goes_on_until_leaves_hold_enough():
         few, more = tree.visit(q, 1), tree.visit(q, 1, sizes, 6)
         assert more[:1] == few and sizes[more].sum() >= 6 > sizes[more[:-1]].sum()
     assert sorted(tree.visit(x[0], 1, sizes, 1 << 40)) == list(range(tree.n_leaves))
+
+
+def test_mixing_by_tables_is_mixing_on_the_driver(spark):
+    # nearly all sources of one language each: targets are met slowly
+    rows = [(i, "a " * n, s, g) for i, (s, g, n) in enumerate([("p", "en", 900), ("p", "de", 1), ("q", "de", 500), ("q", "en", 1), ("r", "de", 40), ("r", "en", 2)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"p": 0.2, "q": 0.5, "r": 0.3}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 1.0}}
+    few, many = ({r.doc_id: (r.probability, r.selected) for r in mixing.mix(docs, budget_share=0.002, targets=targets, max_cells=m).collect()} for m in (200_000, 0))
+    assert few.keys() == many.keys()
+    for k, (p, chosen) in few.items():
+        assert abs(p - many[k][0]) <= 1e-7 * p and chosen == many[k][1], (k, p, many[k])
