@@ -48,6 +48,10 @@ NOISE = frozenset(
     related recommended recommendations widget widgets toolbar pagination pager skip search searchbox contentinfo
     complementary""".split()
 )
+#: Those of them that an article's own parts have too.
+SOFT = frozenset("discussion notice notices social search reply replies related promotion".split())
+#: Blocks of running text.
+PROSE = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class or id that mark an article.
 SIGNAL = frozenset("article content entry post story main body text articlebody maincontent hentry".split())
 _WITH = re.compile(r"\b(?:has|with|no|without)[-_][\w-]*")
@@ -70,15 +74,21 @@ def _attributes(raw: str) -> tuple[list[str], set[str], bool]:
     return classes, words, hidden
 
 
-def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], int]], list[tuple[str, float]]]:
-    """Blocks (text, the containers around it, characters of it in links) and containers (path, factor).
+def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], int, bool]], list[tuple[str, float, int]]]:
+    """Blocks (text, the containers around it, characters of it in links, whether it is prose) and containers (path, factor, parent).
 
-    Only what may belong to an article is kept; block text is unescaped with single spaces.
+    Only what may belong to an article is kept; block text is unescaped with single spaces. A
+    NOISE word drops an element unless it holds most of the page, or is a SOFT one's on text
+    within an article.
     """
     blocks: list = []
-    nodes: list[tuple[str, float]] = [("", 0.5)]
-    # open elements: (tag, path, node or None, dropped)
-    stack: list[tuple[str, str, int | None, bool]] = [("", "", 0, False)]
+    nodes: list[tuple[str, float, int]] = [("", 0.5, -1)]
+    # elements with a noise word: whether one is soft within an article, and those that hold the page's core
+    soft: list[bool] = []
+    holders: set[int] = set()
+    # open elements: (tag, path, node or None, dropped, suspects, whether it is of an article)
+    stack: list[tuple[str, str, int | None, bool, tuple[int, ...], bool]] = [("", "", 0, False, (), False)]
+    kind = ""
     text: list[str] = []
     link_at, linked, at, n = None, 0, 0, len(html)
 
@@ -89,11 +99,18 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], int]], list[tuple
                 block = _SPACE.sub(" ", unescape("".join(text))).strip()
                 if block:
                     open_link = sum(map(len, text[link_at:])) if link_at is not None else 0
-                    blocks.append((block, tuple(s[2] for s in stack if s[2] is not None), min(len(block), linked + open_link)))
+                    around = tuple(s[2] for s in stack if s[2] is not None)
+                    blocks.append((block, around, min(len(block), linked + open_link), kind in PROSE, stack[-1][4]))
             text.clear()
         linked = 0
         link_at = 0 if link_at is not None else None
 
+    def suspect(words: set[str]) -> tuple[int, ...]:
+        if not words & NOISE:
+            return stack[-1][4]
+        soft.append(stack[-1][5] and words & NOISE <= SOFT)
+        return (*stack[-1][4], len(soft) - 1)
+
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
@@ -122,12 +139,15 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], int]], list[tuple
         if tag not in BLOCKS:
             continue
         flush()
+        kind = "" if m[1] else tag
+        if tag == "h1" and not m[1]:
+            holders.update(stack[-1][4])
         if tag not in CONTAINERS and tag not in DROPPED:
             # p, headings and their like: blocks only, unless their class says they are noise
             if not m[1] and m[3]:
                 _, words, hidden = _attributes(m[3])
                 if hidden or words & NOISE:
-                    stack.append((tag, stack[-1][1], None, True))
+                    stack.append((tag, stack[-1][1], None, hidden or stack[-1][3], suspect(words), stack[-1][5]))
             elif m[1] and stack[-1][0] == tag:
                 stack.pop()
             continue
@@ -152,51 +172,86 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], int]], list[tuple
             continue
         classes, words, hidden = _attributes(m[3]) if m[3] else ([], set(), False)
         core = tag in ("html", "body", "main", "article")
-        dropped = stack[-1][3] or tag in DROPPED or hidden or (not core and bool(words & NOISE))
+        dropped = stack[-1][3] or tag in DROPPED or hidden
+        suspects = stack[-1][4] if core or dropped else suspect(words)
+        if tag in ("main", "article") and not words & NOISE:
+            holders.update(suspects)
         path = f"{stack[-1][1]}>{tag}{''.join('.' + c for c in classes)}" if stack[-1][1] else f"{tag}{''.join('.' + c for c in classes)}"
         node = None
         if not dropped:
             factor = 1.5 if tag in ("article", "main") else 0.8 if tag in ("html", "body") else 1.3 if words & SIGNAL else 1.0
-            nodes.append((path, factor * (1 + 0.01 * min(len(stack), 30))))
+            nodes.append((path, factor * (1 + 0.01 * min(len(stack), 30)), next(s[2] for s in reversed(stack) if s[2] is not None)))
             node = len(nodes) - 1
-        stack.append((tag, path, node, dropped))
+        stack.append((tag, path, node, dropped, suspects, stack[-1][5] or tag in ("article", "main") or bool(words & SIGNAL)))
     flush()
-    return blocks, nodes
+    total, own, size = 0, [0] * len(soft), [0] * len(soft)
+    for block, _, in_links, _, suspects in blocks:
+        total += len(block) - in_links
+        for k in suspects:
+            own[k] += len(block) - in_links
+            size[k] += len(block)
+    most = lambda k: 2 * own[k] >= total and (k in holders or 10 * own[k] >= 9 * total)
+    noise = {k for k in range(len(soft)) if not (most(k) or soft[k] and 2 * own[k] > size[k])}
+    return [b[:4] for b in blocks if noise.isdisjoint(b[4])], nodes
 
 
 def scores(blocks: list, nodes: list) -> list[float]:
     """Each container's score: characters of text outside links below it, by what kind of element it is."""
     sums = [0.0] * len(nodes)
-    for text, around, linked in blocks:
+    for text, around, linked, _ in blocks:
         worth = len(text) - linked
         for k in around:
             sums[k] += worth
-    return [s * f for s, (_, f) in zip(sums, nodes)]
+    return [s * f for s, (_, f, _) in zip(sums, nodes)]
+
+
+def best_of(blocks: list, nodes: list) -> tuple[int, list[float]]:
+    """The page's best container, and all scores.
+
+    Where all that a container around it has besides is prose of its own, outside links, that
+    container is the best one; it takes the best score and those within it lose a tenth.
+    """
+    got = scores(blocks, nodes)
+    first = best = max(range(len(got)), key=lambda k: (got[k], -k))
+    k = first
+    while (outer := nodes[k][2]) > 0 and nodes[outer][1] >= 1.0:
+        more = [b for b in blocks if outer in b[1] and k not in b[1]]
+        if not all(prose and around[-1] == outer and 2 * linked < len(text) for text, around, linked, prose in more):
+            break
+        k = outer
+        best = outer if more else best
+    k, top = first, got[first]
+    while k != best:
+        got[k] *= 0.9
+        k = nodes[k][2]
+    if best != first:
+        got[best] = top
+    return best, got
 
 
 def votes(html: str) -> Counter:
     """Thousandths of a vote for each path: its best container's part of the page's best score."""
     blocks, nodes = parse(html)
-    got = scores(blocks, nodes)
-    best = max(got)
+    k, got = best_of(blocks, nodes)
+    best = got[k]
     out: Counter = Counter()
     if best > 0:
-        for (path, _), s in zip(nodes, got):
-            if path:
+        for (path, _, _), s in zip(nodes, got):
+            if path and s > 0:
                 out[path] += s
         out = Counter({p: min(1000, round(1000 * s / best)) for p, s in out.items()})
     return out
 
 
 def extract(html: str, path: str | None) -> str:
-    """The blocks below containers of this path, or below the page's best one if it has none with text."""
+    """The blocks below containers of this path, or below the page's best one if they hold under a quarter of its text."""
     blocks, nodes = parse(html)
-    inside = {k for k, (p, _) in enumerate(nodes) if p == path} if path else set()
+    inside = {k for k, (p, _, _) in enumerate(nodes) if p == path} if path else set()
     found = [b[0] for b in blocks if inside.intersection(b[1])]
-    if not found and blocks:
-        got = scores(blocks, nodes)
-        best = max(range(len(got)), key=lambda k: (got[k], -k))
-        found = [b[0] for b in blocks if best in b[1]]
+    best, _ = best_of(blocks, nodes)
+    own = [b[0] for b in blocks if best in b[1]]
+    if 4 * sum(map(len, found)) < sum(map(len, own)):
+        found = own
     return "\n".join(found)
 
 

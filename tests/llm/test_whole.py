@@ -6,7 +6,7 @@ from re import _parser
 
 import numpy as np
 
-from plumbline.llm import ann, licenses, mixing
+from plumbline.llm import ann, html, licenses, mixing
 
 
 def shortest(pattern):
@@ -90,3 +90,23 @@ def test_mixing_by_tables_is_mixing_on_the_driver(spark):
     assert few.keys() == many.keys()
     for k, (p, chosen) in few.items():
         assert abs(p - many[k][0]) <= 1e-7 * p and chosen == many[k][1], (k, p, many[k])
+
+
+def test_article_text_is_kept():
+    a, b = "One sentence of the article. " * 9, "Another part of what it says. " * 4
+    best = lambda page: html.extract(page, None).split("\n")
+    for name in ("layout sidebar-right", "page two-column sidebar"):
+        assert best(f"<body><div class='{name}'><h1>T</h1><p>{a}<p>{b}</div><nav>no</nav>") == ["T", a.strip(), b.strip()]
+    for part in ("<section id='discussion'>", "<div class='social-policy'>"):
+        assert b.strip() in best(f"<article><h1>T</h1><p>{a}{part}<p>{b}</article>")
+    assert b.strip() in best(f"<article><p>{a}<p class='notice'>{b}</p></article>")
+    assert best(f"<div class='x'><h1>T</h1><div class='content'><p>{a}</div></div>") == ["T", a.strip()]
+    # the host's path covers a small box of this page
+    page = f"<div class='box'><p>short</div><div class='other'><p>{a}<p>{b}</div>"
+    assert html.extract(page, "div.box").split("\n") == [a.strip(), b.strip()]
+
+
+def test_noise_is_still_dropped():
+    a, c = "One sentence of the article. " * 9, "What a reader wrote below it. " * 20
+    page = f"<body><article><h1>T</h1><p>{a}</article><div class='comments'><p>{c}</div><div class='social'><a>f</a></div><p class='notice'>n</p>"
+    assert html.extract(page, None).split("\n") == ["T", a.strip()]
