@@ -1,12 +1,14 @@
 """Operators do the whole job: what an earlier cut of each left out."""
 
+import math
 import re
+import zlib
 from collections import Counter
 from re import _parser
 
 import numpy as np
 
-from plumbline.llm import ann, html, licenses, mixing
+from plumbline.llm import ann, html, licenses, lm, mixing
 
 
 def shortest(pattern):
@@ -110,3 +112,27 @@ def test_noise_is_still_dropped():
     a, c = "One sentence of the article. " * 9, "What a reader wrote below it. " * 20
     page = f"<body><article><h1>T</h1><p>{a}</article><div class='comments'><p>{c}</div><div class='social'><a>f</a></div><p class='notice'>n</p>"
     assert html.extract(page, None).split("\n") == ["T", a.strip()]
+
+
+def test_lm_base_columns(spark, sf):
+    rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    c = Counter(w for i, t in rows if not held[i] for w in t)
+    n = sum(c.values())
+    want = {i: (held[i], len(t), sum(w in c for w in t), n, sum(math.log10(c[w] + 1) for w in t) - len(t) * math.log10(n + len(c) + 1)) for i, t in rows}
+    # few frequent words, so that the others are joined with their counts
+    got = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), n_frequent=500, steps=20).collect()
+    assert len(got) == len(rows) == len(want)
+    for r in got:
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
+        assert math.isclose(r.base_score, want[r.doc_id][4], rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_ann_recall_over_several_leaves(spark):
+    x = np.random.default_rng(4).normal(size=(4000, 16)).astype(np.float32)
+    found = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(80), np.arange(0, 4000, 50)] = -2
+    true = {(50 * i, int(j)) for i, row in enumerate(near) for j in np.argsort(-row)[:5]}
+    assert len(found) == len(true) and len(true & {(r.query_id, r.vec_id) for r in found}) >= 0.9 * len(true)
