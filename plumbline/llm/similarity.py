@@ -109,7 +109,7 @@ def by_key(df: DataFrame, keys: list[str], fn: Callable[[list[dict]], Iterator[t
         if out:
             yield flush()
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(store.tidy(run), schema)
 
 
 # ---- the coarse matrix: each document against the rest of the corpus ---------------------
@@ -117,18 +117,22 @@ def by_key(df: DataFrame, keys: list[str], fn: Callable[[list[dict]], Iterator[t
 _SCAN = "rid long, doc_id long, n long, fp binary, sampled long, local long, block long, idx long, range long, blob binary"
 
 
-def _pack(tokens: np.ndarray, docs: np.ndarray) -> bytes:
-    """Sorted 32-bit tokens and document numbers, by byte planes of the steps."""
+def _pack(tokens: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted 32-bit tokens by the byte planes of their steps, and whole numbers of theirs by their byte planes."""
     steps = np.diff(tokens, prepend=np.uint32(0)).astype("<u4")
-    planes = np.concatenate([steps.view(np.uint8).reshape(-1, 4).T.ravel(), docs.astype("<i4").view(np.uint8).reshape(-1, 4).T.ravel()])
+    planes = np.concatenate([c.view(np.uint8).reshape(-1, c.itemsize).T.ravel() for c in (steps, *(np.ascontiguousarray(c) for c in columns))])
     return len(tokens).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
-    planes = np.frombuffer(pa.decompress(blob[4:], 8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
-    take = lambda at: np.ascontiguousarray(planes[at : at + 4 * n].reshape(4, n).T)
-    return np.cumsum(take(0).view("<u4").ravel(), dtype=np.uint32), take(4 * n).view("<i4").ravel()
+    sizes = [4, *(np.dtype(k).itemsize for k in kinds)]
+    planes = np.frombuffer(pa.decompress(blob[4:], n * sum(sizes), codec="zstd", asbytes=True), dtype=np.uint8)
+    out, at = [], 0
+    for size, kind in zip(sizes, ("<u4", *kinds)):
+        out.append(np.ascontiguousarray(planes[at : at + size * n].reshape(size, n).T).view(kind).ravel())
+        at += size * n
+    return [np.cumsum(out[0], dtype=np.uint32), *out[1:]]
 
 
 def _scan(docs: DataFrame, k: int, share: float, n_ranges: int, max_tokens: int = 750_000) -> DataFrame:
@@ -166,7 +170,7 @@ def _scan(docs: DataFrame, k: int, share: float, n_ranges: int, max_tokens: int
             cols: list[list] = [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
             cols[5] = [int(local[i]) if i is not None else 0 for i in cols[5]]
             ends = np.searchsorted(part, np.arange(n_ranges + 1))
-            blobs = [(r, _pack(small[a:b], doc[a:b])) for r, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+            blobs = [(r, _pack(small[a:b], doc[a:b].astype("<i4"))) for r, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
             n, m = len(rows), len(blobs)
             idx_col = [r[5] for r in rows]
             data = [c + [None] * m for c in cols[:5]] + [cols[5] + [None] * m, [block] * (n + m), idx_col + [None] * m, [None] * n + [b[0] for b in blobs], [None] * n + [b[1] for b in blobs]]
@@ -192,7 +196,7 @@ def _scan(docs: DataFrame, k: int, share: float, n_ranges: int, max_tokens: int
         if rows:
             yield flush()
 
-    return store.materialize(docs.mapInArrow(run, _SCAN), "jaccard-scan")
+    return store.materialize(docs.mapInArrow(store.tidy(run), _SCAN), "jaccard-scan")
 
 
 def _support(scan: DataFrame) -> DataFrame:
@@ -200,12 +204,12 @@ def _support(scan: DataFrame) -> DataFrame:
 
     def counted(block: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A row for each block: its documents and their counts."""
-        pairs, n = np.unique(np.stack([block, doc], axis=1), axis=0, return_counts=True)
-        starts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(pairs))):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(pairs[a, 0])]), pa.array([pairs[a:b, 1].astype("<i4").tobytes()], pa.binary()), pa.array([n[a:b].astype("<i4").tobytes()], pa.binary())], names=["block", "docs", "counts"]
-            )
+        names, at = np.unique(block, return_inverse=True)
+        pairs, n = np.unique(at << 32 | doc, return_counts=True)
+        ends = np.searchsorted(pairs >> 32, np.arange(len(names) + 1))
+        for name, a, b in zip(names.tolist(), ends, ends[1:]):
+            docs = (pairs[a:b] & 0xFFFFFFFF).astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([docs], pa.binary()), pa.array([n[a:b].astype("<i4").tobytes()], pa.binary())], names=["block", "docs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, found, size = None, [], [], 0
@@ -228,11 +232,11 @@ def _support(scan: DataFrame) -> DataFrame:
                     found.append(shared())
                     size += len(found[-1][0])
                     held = []
-                    if size > 2_000_000:
+                    if size > 500_000:
                         yield from counted(*map(np.concatenate, zip(*found)))
                         found, size = [], 0
                 at = r
-                held.append((*_unpack(blob), block))
+                held.append((*_unpack(blob, "<i4"), block))
         if held:
             found.append(shared())
         if found:
@@ -246,7 +250,7 @@ def _support(scan: DataFrame) -> DataFrame:
 
     n = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blobs = scan.where("range IS NOT NULL").select("range", "block", "blob").repartition(n, "range").sortWithinPartitions("range")
-    return by_key(blobs.mapInArrow(run, "block long, docs binary, counts binary"), ["block"], total, "block long, idx long, more long")
+    return by_key(blobs.mapInArrow(store.tidy(run), "block long, docs binary, counts binary"), ["block"], total, "block long, idx long, more long")
 
 
 # ---- the fine matrix: groups of similar documents ----------------------------------------
@@ -312,8 +316,8 @@ def _groups(sets: DataFrame, t: Threshold, share: float, most: int = 256, most_t
     """Groups of linked documents. Documents with one smallest token meet, in chunks of bounded size."""
     d = sets.withColumn("low", F.substring("set", 1, 8))
     chunks = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / most_tokens)).cast("long")
-    hot = d.groupBy("low").agg(chunks.alias("chunks")).where("chunks > 1")  # one key in `most` rows at most
-    d = d.join(hot, "low", "left").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.coalesce("chunks", F.lit(1).cast("long"))))
+    hot = store.materialize(d.groupBy("low").agg(chunks.alias("chunks")).where("chunks > 1"), "jaccard-hot")  # one key in `most` rows at most
+    d = d.join(store.small(hot), "low", "left").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.coalesce("chunks", F.lit(1).cast("long"))))
 
     def meet(rows):
         rows.sort(key=lambda r: r["rid"])
@@ -323,7 +327,7 @@ def _groups(sets: DataFrame, t: Threshold, share: float, most: int = 256, most_t
             union = np.unique(np.concatenate(own)).tobytes() if len(part) > 1 else None
             yield rows[part[0]]["rid"], [rows[i]["rid"] for i in part], [len(s) for s in own], [_sketch(s, share) for s in own], [s.tobytes() for s in own], union
 
-    return store.materialize(by_key(d.select("low", "chunk", "rid", "set"), ["low", "chunk"], meet, _GROUP), "jaccard-groups")
+    return store.materialize(by_key(d.select("low", "chunk", "rid", "set"), ["low", "chunk"], meet, _GROUP), "jaccard-groups", batch=100)
 
 
 def _may_link(a: dict, b: dict, t: Threshold) -> bool:
@@ -359,7 +363,9 @@ def _linked_groups(pairs: DataFrame, groups: DataFrame, t: Threshold) -> DataFra
     """Those of the pairs (a, b) of groups that have a link: first by what sketches allow, then by the sets."""
 
     def step(pairs, columns, test, tag):
-        side = lambda x: groups.select(F.col("root").alias(x), F.struct(*columns).alias(f"of_{x}"))
+        met = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "root")
+        some = groups.join(store.small(met), "root", "left_semi")
+        side = lambda x: some.select(F.col("root").alias(x), F.struct(*columns).alias(f"of_{x}"))
 
         def run(batches):
             for batch in batches:
@@ -369,28 +375,33 @@ def _linked_groups(pairs: DataFrame, groups: DataFrame, t: Threshold) -> DataFra
                         yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in hits], pa.int64()) for x in ("a", "b")], names=["a", "b"])
 
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b")
-        return store.materialize(joined.mapInArrow(run, "a long, b long"), tag)
+        return store.materialize(joined.mapInArrow(store.tidy(run), "a long, b long"), tag, batch=100)
 
-    return step(step(pairs, ["ns", "sketches"], _may_link, "jaccard-bounds"), ["sets", "tokens"], _any_link, "jaccard-links")
+    bounds = step(pairs, ["ns", "sketches"], _may_link, "jaccard-bounds")
+    links = step(bounds, ["sets", "tokens"], _any_link, "jaccard-links")
+    store.discard(bounds)
+    return links
 
 
-def _labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _labels(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each is connected with, by neighbours' labels and pointer jumping."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a")).distinct()
     both = store.materialize(both, "labels-edges")
     labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label"))
     labels = store.materialize(labels, "labels")
-    for _ in range(rounds):
+    while True:
         of = labels.select(F.col("node").alias("near"), F.col("label").alias("near_label"))
         best = both.join(of, "near").groupBy("node").agg(F.min("near_label").alias("low"))
         step = labels.join(best, "node").select("node", F.least("label", "low").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = store.materialize(step.join(jump, "label", "left").select("node", F.least("label", "far").alias("label"), "was"), "labels")
         done = step.where("label <> was").isEmpty()
-        labels = step.select("node", "label")
+        store.discard(labels)
+        stored, labels = step.stored_at, step.select("node", "label")
+        labels.stored_at = stored
         if done:
+            store.discard(both)
             return labels
-    raise RuntimeError("the labels have not settled")
 
 
 def _prefixes(groups: DataFrame, t: Threshold) -> DataFrame:
@@ -402,18 +413,21 @@ def _prefixes(groups: DataFrame, t: Threshold) -> DataFrame:
                 tokens = np.unique(np.concatenate([s[: t.missing(len(s)) + 1] for s in map(_set, sets)]))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.full(len(tokens), root))], names=["token", "root"])
 
-    return groups.select("root", "sets").mapInArrow(run, "token long, root long")
+    return groups.select("root", "sets").mapInArrow(store.tidy(run), "token long, root long")
 
 
-def _pairs(rare: DataFrame, most: int = 4000) -> DataFrame:
+def _pairs(rare: DataFrame, most: int = 4000, rows_a_task: int = 2000) -> DataFrame:
     """Groups with different labels that share a token of (token, root, label): rows (null, a, b).
 
     Tokens with the same first group meet in one task, a token at a time, because similar
-    groups share many tokens and their pair is then made once. A first group with more than
-    ``most`` pairs gives a family instead: rows (first group, member, null), all of whose
-    members are to be compared in blocks.
+    groups share many tokens and their pair is then made once; a first group of more than
+    ``rows_a_task`` rows is dealt to several tasks by token. One with more than ``most`` pairs
+    gives a family instead: rows (first group, member, null), to be compared in blocks.
     """
-    lead = rare.groupBy("token").agg(F.min("root").alias("lead"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token", "lead")
+    lead = rare.groupBy("token").agg(F.min("root").alias("lead"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1")
+    lead = store.materialize(lead.select("token", "lead", "n"), "jaccard-leads")
+    parts = lead.groupBy("lead").agg(F.ceil(F.sum("n") / rows_a_task).cast("long").alias("parts")).where("parts > 1")
+    parts = store.small(store.materialize(parts, "jaccard-parts"))
 
     def run(batches):
         at, token_at, here, seen, roots, full, out = None, None, [], set(), set(), False, []
@@ -421,28 +435,36 @@ def _pairs(rare: DataFrame, most: int = 4000) -> DataFrame:
         def meet():
             nonlocal full
             roots.update(r for r, _ in here)
-            if not full:
-                for i, (a, x) in enumerate(here):
-                    seen.update((min(a, b), max(a, b)) for b, y in here[:i] if x != y)
-                    if len(seen) > most:
-                        full = True
-                        seen.clear()
-                        break
+            if full:
+                return
+            of: dict[int, list[int]] = {}
+            for root, label in here:
+                of.setdefault(label, []).append(root)
+            if len(here) ** 2 - sum(len(r) ** 2 for r in of.values()) > 2 * most:
+                full = True
+            else:
+                before: list[int] = []
+                for own in of.values():
+                    seen.update((min(a, b), max(a, b)) for a in own for b in before)
+                    before += own
+                full = len(seen) > most
+            if full:
+                seen.clear()
 
         def end():
-            out.extend([(at, r, None) for r in roots] if full else [(None, a, b) for a, b in seen])
+            out.extend([(at[0], r, None) for r in roots] if full else [(None, a, b) for a, b in seen])
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["lead", "a", "b"])
 
         for batch in batches:
-            for first, token, root, label in zip(*(c.to_pylist() for c in batch.columns)):
-                if token != token_at or first != at:
+            for first, part, token, root, label in zip(*(c.to_pylist() for c in batch.columns)):
+                if token != token_at or (first, part) != at:
                     meet()
                     token_at, here = token, []
-                    if first != at:
+                    if (first, part) != at:
                         end()
-                        at, seen, roots, full = first, set(), set(), False
+                        at, seen, roots, full = (first, part), set(), set(), False
                         if len(out) > 10_000:
                             yield rows()
                             out = []
@@ -453,19 +475,38 @@ def _pairs(rare: DataFrame, most: int = 4000) -> DataFrame:
             yield rows()
 
     n = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rare.join(lead, "token").repartition(n, "lead").sortWithinPartitions("lead", "token")
-    return store.materialize(dealt.select("lead", "token", "root", "label").mapInArrow(run, "lead long, a long, b long"), "jaccard-pairs")
+    part = F.pmod(F.xxhash64("token"), F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = rare.join(lead.drop("n"), "token").join(parts, "lead", "left").withColumn("part", part).repartition(n, "lead", "part").sortWithinPartitions("lead", "part", "token")
+    return store.materialize(dealt.select("lead", "part", "token", "root", "label").mapInArrow(store.tidy(run), "lead long, a long, b long").distinct(), "jaccard-pairs")
 
 
 def _linked_families(members: DataFrame, groups: DataFrame, roots: DataFrame, t: Threshold, size: int = 256) -> DataFrame:
-    """Links between members (lead, root) of families, a block of two chunks of members at a time."""
-    chunks = members.groupBy("lead").agg(F.ceil(F.count("*") / size).cast("long").alias("chunks"))
-    d = members.join(chunks, "lead").withColumn("i", F.pmod(F.xxhash64("root"), F.col("chunks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    d = d.select("lead", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "root")
-    d = d.join(groups.select("root", "sets"), "root").join(roots, "root")
+    """Links between members (lead, root) of families, a block of two chunks of members at a time.
+
+    The members with a family's most common label are linked already and are not compared with
+    each other: only the rest among themselves and with all. Within a block the token union of
+    one chunk bounds each group of the other, and only groups whose bound allows a link are opened.
+    """
+    d = members.join(roots, "root").select("lead", "root", "label")
+    most = d.groupBy("lead", "label").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max(F.struct("n", F.negative("label").alias("label"))).alias("m"), F.sum("n").alias("n"))
+    most = store.materialize(most.select("lead", F.negative("m.label").alias("main"), F.col("m.n").alias("n_main"), (F.col("n") - F.col("m.n")).alias("n_rest")), "jaccard-families")
+    chunks = lambda c: F.greatest(F.ceil(F.col(c) / size).cast("long"), F.lit(1).cast("long"))
+    d = d.join(store.small(most), "lead").withColumns({"c0": chunks("n_rest"), "c1": chunks("n_main"), "is_main": F.col("label") == F.col("main")})
+    # chunks 0 to c0 - 1 hold the rest, those from c0 on the main label's members
+    d = d.withColumn("i", F.pmod(F.xxhash64("root"), F.when(F.col("is_main"), F.col("c1")).otherwise(F.col("c0"))) + F.when(F.col("is_main"), F.col("c0")).otherwise(0))
+    one = F.lit(1).cast("long")
+    d = d.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("is_main"), F.col("c0")).otherwise(F.col("c0") + F.col("c1")) - one)))
+    d = d.select("lead", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "root", "label")
+    some = store.small(store.materialize(members.select("root").distinct(), "jaccard-members"))
+    d = d.join(groups.select("root", "sets").join(some, "root", "left_semi"), "root")
 
     def block(rows):
-        rows.sort(key=lambda r: r["root"])
+        rows.sort(key=lambda r: (r["i"], r["root"]))
+        first = [r for r in rows if r["i"] == rows[0]["i"]]
+        second = rows[len(first) :]
+        if second:
+            first, second = _opened(first, second, t), _opened(second, first, t)
+        rows = first + second
         owner = [k for k, r in enumerate(rows) for _ in r["sets"]]
         sets = [_set(s) for r in rows for s in r["sets"]]
         if len(sets) < 2:
@@ -485,20 +526,163 @@ def _linked_families(members: DataFrame, groups: DataFrame, roots: DataFrame, t:
                 top[y] = x
                 yield min(a["root"], b["root"]), max(a["root"], b["root"])
 
-    return store.materialize(by_key(d, ["lead", "lo", "hi"], block, "a long, b long"), "jaccard-family-links")
+    links = store.materialize(by_key(d, ["lead", "lo", "hi"], block, "a long, b long"), "jaccard-family-links", batch=100)
+    store.discard(most)
+    return links
 
 
-def _token_rows(groups: DataFrame) -> DataFrame:
-    """(token, rid, n, root, label): all tokens of all members."""
+def _opened(rows: list[dict], others: list[dict], t: Threshold) -> list[dict]:
+    """Those of the groups of which some set has enough tokens in the other groups' union."""
+    union = np.unique(np.concatenate([_set(s) for r in others for s in r["sets"]]))
+    allows = lambda s: np.isin(s, union, assume_unique=True).sum() >= len(s) - t.missing(len(s))
+    return [r for r in rows if any(allows(_set(s)) for s in r["sets"])]
+
+
+_TOKENS = "block long, range long, blob binary, members binary"
+#: A member's set size, distinct coarse tokens, group and label.
+_MEMBER = ("<i8", "<i8", "<i8", "<i8")
+
+
+def _rarest(groups: DataFrame, t: Threshold, n_ranges: int, max_tokens: int = 500_000) -> DataFrame:
+    """(root, label, token): of each member of groups with labels, the rarest tokens, so many that linked members share one.
+
+    Tokens are cut to a range and 32 bits, which can only join tokens, and go to their range's
+    task packed. There those of one label are done; the others come back with the number of
+    labels that have them, and each member keeps its rarest: frequent passages come last.
+    """
+    width = -(-(2**64) // n_ranges)
+    shift = np.uint64(max(0, width.bit_length() - 32))
+    names = [x.strip().split(" ")[0] for x in _TOKENS.split(",")]
+
+    def coarse(s: np.ndarray) -> np.ndarray:
+        part = s // np.uint64(width)
+        return part << np.uint64(32) | (s - part * np.uint64(width)) >> shift
+
+    def deal(batches):
+        block, held, members, size = TaskContext.get().partitionId() << 24, [], [], 0
+
+        def flush():
+            nonlocal block, held, members, size
+            tok = np.concatenate(held)
+            idx = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            order = np.argsort(tok, kind="stable")
+            tok, idx = tok[order], idx[order]
+            label = np.array([m[3] for m in members], dtype="<i8")[idx]
+            part, small = (tok >> np.uint64(32)).astype(np.int64), tok.astype(np.uint32)
+            ends = np.searchsorted(part, np.arange(n_ranges + 1))
+            blobs = [(r, _pack(small[a:b], idx[a:b].astype("<i4"), label[a:b])) for r, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+            n = len(blobs)
+            table = np.array(members, dtype="<i8").T.tobytes()
+            out = pa.RecordBatch.from_arrays([
+                pa.array([block] * (n + 1)), pa.array([*(b[0] for b in blobs), None], pa.int64()), pa.array([*(b[1] for b in blobs), None], pa.binary()), pa.array([None] * n + [table], pa.binary()),
+            ], names=names)
+            block, held, members, size = block + 1, [], [], 0
+            return out
+
+        for batch in batches:
+            for root, label, sets in zip(*(c.to_pylist() for c in batch.columns)):
+                for s in map(_set, sets):
+                    c = np.unique(coarse(s))
+                    held.append(c)
+                    members.append((len(s), len(c), root, label))
+                    size += len(c)
+                    if size > max_tokens:
+                        yield flush()
+        if held:
+            yield flush()
+
+    dealt = store.materialize(groups.select("root", "label", "sets").mapInArrow(store.tidy(deal), _TOKENS), "jaccard-tokens", batch=100)
+
+    def counted(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: its members' tokens that several labels have, and how many have them."""
+        block, idx, df, token = map(np.concatenate, zip(*found))
+        order = np.argsort(block, kind="stable")
+        block, idx, df, token = block[order], idx[order], df[order], token[order]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(block))):
+            own = np.argsort(token[a:b], kind="stable")
+            high = (token[a:b][own] >> np.uint64(32)).astype("<i4")
+            blob = np.concatenate([token[a:b][own].astype("<u4").view("<i4"), high, idx[a:b][own].astype("<i4"), df[a:b][own].astype("<i4")]).tobytes()
+            blob = int(b - a).to_bytes(4, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[a])]), pa.array([blob], pa.binary())], names=["block", "blob"])
+
+    def count(batches):
+        at, held, found, size = None, [], [], 0
+
+        def several():
+            cols = [np.concatenate(c) for c in zip(*((*x, np.full(len(x[0]), b, dtype=np.int64)) for x, b in held))]
+            tok, idx, label, block = cols
+            order = np.lexsort((label, tok))
+            tok, idx, label, block = tok[order], idx[order], label[order], block[order]
+            new = np.ones(len(tok), dtype=bool)
+            new[1:] = tok[1:] != tok[:-1]
+            other = new.copy()
+            other[1:] |= label[1:] != label[:-1]
+            group = np.cumsum(new) - 1
+            df = np.bincount(group, other)[group].astype(np.int64)
+            take = df > 1
+            return block[take], idx[take], df[take], np.uint64(at) << np.uint64(32) | tok[take].astype(np.uint64)
 
-    def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                for rid, s in zip(row["rids"], map(_set, row["sets"])):
-                    full = lambda x, k=len(s): pa.array(np.full(k, x, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), full(rid), full(len(s)), full(row["root"]), full(row["label"])], names=["token", "rid", "n", "root", "label"])
+            for r, block, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and r != at:
+                    found.append(several())
+                    size += len(found[-1][0])
+                    held = []
+                    if size > 500_000:
+                        yield from counted(found)
+                        found, size = [], 0
+                at = r
+                held.append((_unpack(blob, "<i4", "<i8"), block))
+        if held:
+            found.append(several())
+        if found:
+            yield from counted(found)
+
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blobs = dealt.where("range IS NOT NULL").select("range", "block", "blob").repartition(n, "range").sortWithinPartitions("range")
+    back = blobs.mapInArrow(store.tidy(count), "block long, blob binary").select("block", "blob", F.lit(None).cast("binary").alias("members"))
+    back = back.union(dealt.where("members IS NOT NULL").select("block", F.lit(None).cast("binary"), "members"))
+
+    def choose(batches):
+        at, pieces, table = None, [], None
+
+        def keep():
+            if not pieces:
+                return None
+            size, distinct, root, label = np.frombuffer(table, dtype="<i8").reshape(4, -1)
+            cols = []
+            for blob in pieces:
+                k = int.from_bytes(blob[:4], "little")
+                cols.append(np.frombuffer(pa.decompress(blob[4:], 16 * k, codec="zstd", asbytes=True), dtype="<i4").reshape(4, k))
+            low, high, idx, df = np.concatenate(cols, axis=1)
+            token = high.astype(np.int64) << 32 | low.view("<u4").astype(np.int64)
+            order = np.lexsort((token, df, idx))
+            token, idx = token[order], idx[order]
+            starts = np.searchsorted(idx, np.arange(len(size)))
+            held = np.diff(np.append(starts, len(idx)))
+            room = t.missing(size) + 1 - (distinct - held)
+            take = np.arange(len(idx)) - starts[idx] < room[idx]
+            some = np.unique(np.stack([root[idx[take]], label[idx[take]], token[take]], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in some.T], names=["root", "label", "token"]) if len(some) else None
 
-    return groups.select("rids", "sets", "root", "label").mapInArrow(run, "token long, rid long, n long, root long, label long")
+        for batch in batches:
+            for block, blob, members in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at:
+                    if at is not None and (done := keep()) is not None:
+                        yield done
+                    at, pieces, table = block, [], None
+                if members is not None:
+                    table = members
+                else:
+                    pieces.append(blob)
+        if at is not None and (done := keep()) is not None:
+            yield done
+
+    kept = back.repartition(n, "block").sortWithinPartitions("block").mapInArrow(store.tidy(choose), "root long, label long, token long")
+    rare = store.materialize(kept.distinct(), "jaccard-rare")
+    store.discard(dealt)
+    return rare
 
 
 def _with_labels(groups: DataFrame, edges: DataFrame | None) -> DataFrame:
@@ -508,34 +692,31 @@ def _with_labels(groups: DataFrame, edges: DataFrame | None) -> DataFrame:
     return groups.join(labels, "root", "left").withColumn("label", F.coalesce("label", "root"))
 
 
-def _connect(groups: DataFrame, t: Threshold) -> DataFrame:
+def _connect(groups: DataFrame, t: Threshold, n_ranges: int) -> DataFrame:
     """(root, label) after all links between groups."""
     # each group against the first group that shares a prefix token with it
-    index = store.materialize(_prefixes(groups, t), "jaccard-prefixes")
+    index = store.materialize(_prefixes(groups, t), "jaccard-prefixes", batch=100)
     leads = index.groupBy("token").agg(F.min("root").alias("lead"), F.max("root").alias("last")).where("lead < last").drop("last")
-    pairs = index.join(leads, "token").where("root > lead").select(F.col("lead").alias("a"), F.col("root").alias("b")).distinct()
+    pairs = store.materialize(index.join(leads, "token").where("root > lead").select(F.col("lead").alias("a"), F.col("root").alias("b")).distinct(), "jaccard-first-pairs")
     edges = _linked_groups(pairs, groups, t)
     some = not edges.isEmpty()
-    labelled = _with_labels(groups, edges if some else None)
+    labelled = _with_labels(groups.select("root"), edges if some else None)
     roots = store.materialize(labelled.select("root", "label"), "jaccard-roots")
 
     # what is left: tokens whose groups are not yet connected, and all members of those groups
     open_ = index.join(roots, "root")
     split = open_.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token")
-    contested = open_.join(split, "token", "left_semi").select("root", "label").distinct()
-    tokens = store.materialize(_token_rows(groups.join(contested, "root")), "jaccard-tokens")
-    # prefixes again, by how many labels have a token, rarest first: frequent passages come last
-    rarity = tokens.select("token", "label").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(rarity, "token").groupBy("rid", "n", "root", "label").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
-    room = F.floor(F.col("n") * (t.den - t.num) / t.den) + 1 - (F.col("n") - F.size("s"))
-    rare = shared.where(room > 0).select("root", "label", F.explode(F.slice("s", F.lit(1), room.cast("int"))).alias("x"))
-    rare = store.materialize(rare.select("root", "label", F.col("x.token").alias("token")).distinct(), "jaccard-rare")
+    contested = store.materialize(open_.join(split, "token", "left_semi").select("root", "label").distinct(), "jaccard-contested")
+    store.discard(index)
+    rare = _rarest(groups.select("root", "sets").join(store.small(contested), "root"), t, n_ranges)
     met = _pairs(rare)
-    late = _linked_groups(met.where("lead IS NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), groups, t)
+    store.discard(rare, contested)
+    late = _linked_groups(met.where("lead IS NULL").select("a", "b").join(pairs, ["a", "b"], "left_anti"), groups, t)
     late = late.union(_linked_families(met.where("lead IS NOT NULL").select("lead", F.col("a").alias("root")), groups, roots, t))
+    store.discard(met, pairs)
     if late.isEmpty():
         return roots
-    return _with_labels(groups, edges.union(late)).select("root", "label")
+    return store.materialize(_with_labels(groups.select("root"), edges.union(late)).select("root", "label"), "jaccard-roots")
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id", max_broadcast: int = 500_000) -> DataFrame:
@@ -573,15 +754,16 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "n", "set"])
 
     spoken = base.select("rid", "text").join(F.broadcast(speakers) if few else speakers, "rid", "left_semi")
-    sets = store.materialize(spoken.mapInArrow(sets_of, "rid long, n long, set binary"), "jaccard-sets")
+    sets = store.materialize(spoken.mapInArrow(store.tidy(sets_of), "rid long, n long, set binary"), "jaccard-sets")
     groups = _groups(sets, t, share)
     store.discard(sets)
-    roots = _connect(groups, t)
+    roots = _connect(groups, t, n_ranges)
 
     by_rid = groups.select("root", F.explode("rids").alias("rid")).join(roots, "root").select("rid", "label")
     names = by_rid.join(kept, "rid").select("fp", F.col("label"))
     d = rows.join(names, "fp", "left").withColumn("label", F.coalesce(F.col("label").cast("string").cast("binary"), "fp"))
     d = store.materialize(d.select("rid", "doc_id", F.col("n").alias("n_shingles"), "label"), "jaccard-rows")
+    store.discard(groups, roots, kept, rows)
     rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid")
     first = d.where("label IS NOT NULL").groupBy("label").agg(F.min(rank).alias("first"))
     alone = F.col("n_shingles") == 0
