@@ -8,6 +8,7 @@ ids; a choice costs one pass over the open levels and no search over windows.
 from __future__ import annotations
 
 import gc
+import threading
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,12 +34,13 @@ class Packer:
     """Places pieces into windows of ``size`` ids and says when a window is closed.
 
     A piece is ``(doc, start, ids, doc_tokens)`` with ids as little-endian uint32 bytes.
-    At most ``max_open`` windows stay open; beyond it, and at the end, the open windows
-    are levelled: ids of the emptiest ones are cut off and fill up the fullest ones, so
-    that one window at most is left, which ``finish`` cuts into powers of two.
+    At most ``max_open`` windows stay open: the memory that a task may hold. Beyond it, and
+    when the input ends, there is no next document to wait for and the open windows are
+    levelled: ids of the emptiest ones are cut off and fill up the fullest ones, so that one
+    window at most is left, which ``finish`` cuts into powers of two.
     """
 
-    def __init__(self, size: int = 4096, max_open: int = 1024, first_id: int = 0):
+    def __init__(self, size: int = 4096, max_open: int = 8192, first_id: int = 0):
         self.size, self.max_open, self.next_id = size, max_open, first_id
         self.levels = np.zeros(size + 1, dtype=np.int64)
         self.at: dict[int, list[list]] = {}  # fill level -> windows, each a list of pieces
@@ -152,6 +154,29 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._check()
+
+    def _check(self) -> None:
+        """Refuse a tokenizer for which a text's ids are not those of its lower-cased strings in order."""
+        for probe in ("Some Words, and their\tends; x1\n\nit's  don't (so) \u00e9t\u00e9", " lead", "trail ", "A.B-C_d"):
+            whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
+            if [i for p in probe.lower().split() for i in self.tokenizer.encode(p, add_special_tokens=False).ids] != whole:
+                raise ValueError("this tokenizer keeps case or white space: its ids cannot be put together from strings")
+
+        self.timer: threading.Timer | None = None
+
+    def rest(self, seconds: float = 2.0) -> None:
+        """Empty the cache unless a task wants it within so many seconds: an idle worker holds no words."""
+        self.timer = threading.Timer(seconds, lambda: (self.cache.clear(), self.stems.clear()))
+        self.timer.daemon = True
+        self.timer.start()
+
+    def wake(self) -> None:
+        """Before use: whatever the timer has not emptied yet stays."""
+        if self.timer is not None:
+            self.timer.cancel()
+            self.timer.join()
+            self.timer = None
 
     def _each(self, parts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -218,6 +243,7 @@ def pack(
     size: int = 4096,
     text: str = "text",
     doc_id: str = "doc_id",
+    max_open: int = 8192,
 ) -> DataFrame:
     """Pack every document's ids into windows of ``size`` ids; one row a piece.
 
@@ -225,7 +251,9 @@ def pack(
     hot; a lost task is repeated alone and gives the same windows. A null text is empty and
     still has its end id. A null doc_id stays null; repeated rows are packed each on its own.
     Other columns are ignored. An empty table gives no rows. Windows are full but for those
-    that close a partition, whose sizes are powers of two, so no padding is needed.
+    that close a partition, whose sizes are powers of two, so no padding is needed. A task
+    holds ``max_open`` open windows at most, 128 MB of ids at 8192 of 4096; a partition of
+    128 MB of text never has as many.
 
     ``tokenizer_path``: a path that all executors have, or a function that gives it there.
     """
@@ -233,21 +261,25 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path() if callable(tokenizer_path) else tokenizer_path
         encode = _encoder(path, end_id)
-        packer = Packer(size, first_id=TaskContext.get().partitionId() << 33)
+        encode.wake()
+        packer = Packer(size, max_open, first_id=TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         gc.disable()  # there are no cycles, but lists of millions of words to walk
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in _runs(texts, 8 << 20):
-                for i, b in zip(part, encode([texts[i] or b"" for i in part])):
-                    rows.extend(packer.add((ids[i], 0, b, len(b) // 4)))
-                if len(rows) > 5000:
-                    yield _batch(rows)
-                    rows = []
-        rows.extend(packer.finish())
-        gc.enable()
-        if rows:
-            yield _batch(rows)
+        try:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for part in _runs(texts, 8 << 20):
+                    for i, b in zip(part, encode([texts[i] or b"" for i in part])):
+                        rows.extend(packer.add((ids[i], 0, b, len(b) // 4)))
+                    if len(rows) > 5000:
+                        yield _batch(rows)
+                        rows = []
+            rows.extend(packer.finish())
+            if rows:
+                yield _batch(rows)
+        finally:
+            gc.enable()
+            encode.rest()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
