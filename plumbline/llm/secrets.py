@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-FINDING = "blob string, rule string, kind string, kind_no int, start int, end int"
+FINDING = "blob string, rule string, kind string, start int, end int"
 SCANNED = "blob string, rule string"
 
 
@@ -37,13 +37,13 @@ class SecretRule:
     @property
     def key(self) -> str:
         """Name and version: a changed rule is another one to the ledger."""
-        return f"{self.kind}@{zlib.crc32(repr((self.pattern, self.least, self.group)).encode()):08x}"
+        return f"{self.kind}@{zlib.crc32(repr((self.pattern, self.gate, self.least, self.group, self.fold)).encode()):08x}"
 
 
 BASE_RULES = (
     SecretRule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("passw", "secret", "token", "api"), 6, 2, True),
-    SecretRule("access", r"AKIA[A-Z0-9]+", ("AKIA",), 20),
-    SecretRule("hex", r"[0-9a-f]+", (), 24),
+    SecretRule("access", r"AKIA[A-Z0-9]{16,}", ("AKIA",), 20),
+    SecretRule("hex", r"[0-9a-f]{24,}", (), 24),
 )
 MORE_RULES = (
     SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
@@ -71,7 +71,7 @@ def _matches(rule: SecretRule, number: int, text: Column, low: Column, due: Colu
             found = found | F.contains(within, F.lit(g))
         gate = gate & found
     elif rule.kind == "hex":
-        gate = gate & text.rlike("[0-9a-f]{%d}" % rule.least)
+        gate = gate & text.rlike(rule.pattern)
     size = lambda x: F.length(x)
     pairs = F.zip_with(
         F.split(text, rule.pattern, -1),
@@ -100,7 +100,7 @@ def find(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     keys = F.array(*[F.lit(r.key) for r in rules])
     return (
         d.withColumn("end", upto.cast("int")).where("ok")
-        .select("blob", F.get(keys, F.col("kind_no")).alias("rule"), F.get(kinds, F.col("kind_no")).alias("kind"), "kind_no", (F.col("end") - F.col("n")).alias("start"), "end")
+        .select("blob", F.get(keys, F.col("kind_no")).alias("rule"), F.get(kinds, F.col("kind_no")).alias("kind"), (F.col("end") - F.col("n")).alias("start"), "end")
     )
 
 
@@ -147,7 +147,9 @@ class Ledger:
 
     def by_blob(self, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
         """A row for each blob with findings of these rules: its spans by start, then rule, then end."""
-        found = self.findings.where(F.col("rule").isin([r.key for r in rules]))
+        # a rule's place is its place among these rules, whatever it was when it was scanned for
+        place = F.array_position(F.array(*[F.lit(r.key) for r in rules]), F.col("rule")).cast("int")
+        found = self.findings.withColumn("kind_no", place - 1).where("kind_no >= 0")
         return found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "kind"))).alias("spans"))
 
 
@@ -155,7 +157,8 @@ def attach(docs: DataFrame, ledger: Ledger, text: str = "text", rules: tuple[Sec
     """``docs`` with ``spans``, an array that is empty where nothing was found.
 
     A null text is the empty blob. Equal rows get equal spans; none is dropped. A hot text is
-    one row on the findings' side, so its rows can be split.
+    one row on the findings' side, so its rows can be split. An empty table stays empty; other
+    columns are kept, but for one named ``spans``, which is replaced.
     """
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>")
     d = docs.drop("spans").withColumn("__blob", blob_of(F.col(text)))
