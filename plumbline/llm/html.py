@@ -1,7 +1,10 @@
 """Main text of web pages by consensus host paths (operator 7).
 
 Every page scores its containers; the scores vote, per host and in Spark, for generalised
-tag-class paths; then each page is extracted again with its host's winning path.
+tag-class paths; then each page is extracted again with its host's winning path. Work and
+memory of a page grow with its length only, however deep or broken its markup is: a container
+knows its parent and the run of blocks below it, and a path is a 64-bit hash of its parent's
+path and its own tag and classes.
 """
 
 from __future__ import annotations
@@ -9,18 +12,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import store
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^"'>])*+)>""",
-    re.S,
-)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]+")
+_UNTIL = re.compile(r"[^\"'>]*")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>"']|\Z)""", re.I)
 
 #: Elements whose content is text up to their end tag.
@@ -37,6 +41,8 @@ CONTAINERS = {
 }
 #: Elements that begin and end a block.
 BLOCKS = CONTAINERS | DROPPED | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "hr", "address", "figcaption", "summary", "caption", "legend", "option", "optgroup", "search"}
+#: Blocks that end where a container begins.
+LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: An open element of the key's kind ends where one of the same set begins, up to the element that holds both.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"})}
 #: Words of class, id or role that mark what is no article.
@@ -50,8 +56,11 @@ NOISE = frozenset(
 )
 #: Those of them that an article's own parts have too.
 SOFT = frozenset("discussion notice notices social search reply replies related promotion".split())
-#: Blocks of running text.
-PROSE = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words that stand beside them in the names of leaf blocks of the same kind.
+NEUTRAL = frozenset("box wrap wrapper text item items bar block link links title inner container area unit label message msg list top bottom left right close body row".split())
+#: Words of an inline element's class or id that mark an advert within a block.
+ADVERT = frozenset("ad ads advert adverts advertisement adsense adsbygoogle adslot sponsor sponsored".split())
+INLINE = {"span", "ins"}
 #: Words of class or id that mark an article.
 SIGNAL = frozenset("article content entry post story main body text articlebody maincontent hentry".split())
 _WITH = re.compile(r"\b(?:has|with|no|without)[-_][\w-]*")
@@ -60,196 +69,331 @@ _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _attributes(raw: str) -> tuple[list[str], set[str], bool]:
-    """Generalised classes, words of class, id and role, and whether the element is hidden."""
-    classes, words, hidden = [], set(), False
+def _attributes(raw: str) -> tuple[list[str], set[str], bool, bool]:
+    """Generalised classes, words of class, id and role, whether the element is hidden, and whether a whole name is noise."""
+    classes, words, hidden, whole = [], set(), False, False
     for name, value in _ATTR.findall(raw):
         name, value = name.lower(), unescape(value.strip("\"'"))
         if name == "class":
             classes = sorted({_DIGITS.sub("#", c.lower()) for c in value.split()})
         if name in ("class", "id", "role", "itemprop"):
-            words.update(w.lower() for w in _WORD.findall(_WITH.sub(" ", value)))
+            for token in _WITH.sub(" ", value).split():
+                own = {w.lower() for w in _WORD.findall(token)}
+                words |= own
+                whole |= bool(own & NOISE) and own <= NOISE | NEUTRAL
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
-    return classes, words, hidden
+    return classes, words, hidden, whole
+
+
+class _Tags:
+    """Tags of a page in order: (start, end, whether it closes, its name or '', its attributes).
+
+    Comments, declarations and sections have no name. What looks for an end that the rest of the
+    page lacks looks once, so that a page of broken tags takes no longer than another.
+    """
 
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ("\"", "'", ">", "-->", "]]>")}
 
-def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...], int, bool]], list[tuple[str, float, int]]]:
-    """Blocks (text, the containers around it, characters of it in links, whether it is prose) and containers (path, factor, parent).
+    def _end(self, at: int, mark: str) -> int:
+        """The place behind the next mark, or the page's end."""
+        return self.html.find(mark, at) + len(mark) if at <= self.last[mark] else len(self.html)
 
-    Only what may belong to an article is kept; block text is unescaped with single spaces. A
-    NOISE word drops an element unless it holds most of the page, or is a SOFT one's on text
-    within an article.
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        html = self.html
+        m = _OPEN.search(html, at)
+        if m is None:
+            return None
+        start, mark = m.start(), m[0]
+        if mark == "<!--":
+            return start, self._end(m.end(), "-->"), False, "", ""
+        if mark == "<![CDATA[":
+            return start, self._end(m.end(), "]]>"), False, "", ""
+        if mark in ("<!", "<?"):
+            return start, self._end(m.end(), ">"), False, "", ""
+        name = _NAME.match(html, m.end() - 1)
+        if name.end() > self.last[">"]:
+            return start, len(html), False, "", ""  # a tag that never ends is no text
+        at = name.end()
+        while True:
+            at = _UNTIL.match(html, at).end()
+            if at >= len(html):
+                end = html.find(">", name.end())  # a quote that never ends is none
+                break
+            if html[at] == ">":
+                end = at
+                break
+            quote, before = html[at], at - 1
+            while html[before].isspace():
+                before -= 1
+            if html[before] != "=":  # not a value's own quotes
+                at += 1
+                continue
+            at = html.find(quote, at + 1) + 1 if at + 1 <= self.last[quote] else at + 1
+        return start, end + 1, mark[1] == "/", name[0].lower(), html[name.end() : end]
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The place behind the end tag of an element that holds raw text."""
+        m = re.compile(rf"</{tag}\b", re.I).search(self.html, at)
+        return self._end(m.end(), ">") if m else len(self.html)
+
+
+@dataclass
+class Page:
+    """Blocks in page order and the containers around them, parents before children.
+
+    ``text``, ``linked`` (characters of it in links) and ``node`` (the innermost container) have an entry a block; ``path``, ``factor``, ``parent``, ``depth``, ``first`` and
+    ``last`` (the run of blocks below it) one a container. Container 0 is the page.
     """
-    blocks: list = []
-    nodes: list[tuple[str, float, int]] = [("", 0.5, -1)]
-    # elements with a noise word: whether one is soft within an article, and those that hold the page's core
-    soft: list[bool] = []
-    holders: set[int] = set()
-    # open elements: (tag, path, node or None, dropped, suspects, whether it is of an article)
-    stack: list[tuple[str, str, int | None, bool, tuple[int, ...], bool]] = [("", "", 0, False, (), False)]
-    kind = ""
-    text: list[str] = []
+
+    text: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
+    node: list[int] = field(default_factory=list)
+    path: list[int] = field(default_factory=list)
+    factor: list[float] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    depth: list[int] = field(default_factory=list)
+    first: list[int] = field(default_factory=list)
+    last: list[int] = field(default_factory=list)
+
+
+@dataclass
+class _Open:
+    """An open element: its tag, nearest container, whether it is dropped, innermost element with a noise word, whether it is of an article."""
+
+    tag: str
+    node: int
+    dropped: bool
+    suspect: int
+    article: bool
+
+
+def parse(html: str) -> Page:
+    """What may belong to an article: blocks, unescaped with single spaces, and their containers.
+
+    A NOISE word drops an element unless it holds most of the page, or is a SOFT one's on text
+    within an article; a block such as a paragraph is dropped if a whole name of its class or id
+    is noise, an advert within a block if its element says so.
+    """
+    tags, page = _Tags(html), Page()
+    paths = page.path
+
+    def container(path: int, factor: float, parent: int, depth: int) -> int:
+        paths.append(path)
+        page.factor.append(factor)
+        page.parent.append(parent)
+        page.depth.append(depth)
+        return len(paths) - 1
+
+    container(0, 0.5, -1, 0)
+    # elements with a noise word: the one around, whether one is soft within an article, whether the page's core lies below
+    around: list[int] = [-1]
+    soft: list[bool] = [False]
+    holds: list[bool] = [False]
+    blocks: list[tuple[str, int, int, int]] = []
+    stack = [_Open("", 0, False, 0, False)]
+    places: dict[str, list[int]] = {}
+    text, skip, skip_tag = [], 0, ""
     link_at, linked, at, n = None, 0, 0, len(html)
 
-    def flush():
-        nonlocal linked, link_at
+    def push(x: _Open) -> None:
+        places.setdefault(x.tag, []).append(len(stack))
+        stack.append(x)
+
+    def cut(k: int) -> None:
+        """Close the open elements from the k-th on."""
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
+    def flush() -> None:
+        nonlocal linked, link_at, skip
+        skip = 0
         if text:
-            if not stack[-1][3]:
+            top = stack[-1]
+            if not top.dropped:
                 block = _SPACE.sub(" ", unescape("".join(text))).strip()
                 if block:
                     open_link = sum(map(len, text[link_at:])) if link_at is not None else 0
-                    around = tuple(s[2] for s in stack if s[2] is not None)
-                    blocks.append((block, around, min(len(block), linked + open_link), kind in PROSE, stack[-1][4]))
+                    blocks.append((block, top.node, min(len(block), linked + open_link), top.suspect))
             text.clear()
         linked = 0
         link_at = 0 if link_at is not None else None
 
-    def suspect(words: set[str]) -> tuple[int, ...]:
-        if not words & NOISE:
-            return stack[-1][4]
-        soft.append(stack[-1][5] and words & NOISE <= SOFT)
-        return (*stack[-1][4], len(soft) - 1)
+    def suspected(words: set[str]) -> int:
+        around.append(stack[-1].suspect)
+        soft.append(stack[-1].article and words & NOISE <= SOFT)
+        holds.append(False)
+        return len(around) - 1
 
     while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            text.append(html[at:])
+        found = tags.next(at)
+        if found is None:
+            if not skip:
+                text.append(html[at:])
             break
-        if m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, end, closes, tag, attributes = found
+        if start > at and not skip:
+            text.append(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if tag in RAW and not m[1]:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
-            if tag == "iframe" or tag == "title" or tag == "textarea":
+        if tag in RAW and not closes:
+            at = tags.raw_end(tag, at)
+            if tag in ("iframe", "title", "textarea"):
                 flush()
             continue
         if tag == "a":
             if link_at is not None:
                 linked += sum(map(len, text[link_at:]))
-            link_at = None if m[1] else len(text)
+            link_at = None if closes else len(text)
             continue
         if tag == "br" or tag == "wbr":
             text.append(" " if tag == "br" else "")
             continue
+        if tag in INLINE:
+            if skip and tag == skip_tag:
+                skip += -1 if closes else 1
+            elif not skip and not closes and attributes and _attributes(attributes)[1] & ADVERT:
+                skip, skip_tag = 1, tag
+            continue
         if tag not in BLOCKS:
             continue
         flush()
-        kind = "" if m[1] else tag
-        if tag == "h1" and not m[1]:
-            holders.update(stack[-1][4])
+        if tag == "h1" and not closes:
+            holds[stack[-1].suspect] = True
         if tag not in CONTAINERS and tag not in DROPPED:
             # p, headings and their like: blocks only, unless their class says they are noise
-            if not m[1] and m[3]:
-                _, words, hidden = _attributes(m[3])
-                if hidden or words & NOISE:
-                    stack.append((tag, stack[-1][1], None, hidden or stack[-1][3], suspect(words), stack[-1][5]))
-            elif m[1] and stack[-1][0] == tag:
-                stack.pop()
+            top = stack[-1]
+            if not closes and attributes:
+                _, words, hidden, whole = _attributes(attributes)
+                if hidden or whole:
+                    push(_Open(tag, top.node, hidden or top.dropped, suspected(words) if whole else top.suspect, top.article))
+            elif closes and top.tag == tag:
+                cut(len(stack) - 1)
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if closes:
+            if places.get(tag):
+                cut(places[tag][-1])
             link_at = None
             continue
-        while stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+        while stack[-1].tag in LEAVES:
+            cut(len(stack) - 1)
         if tag in CLOSED_BY:
             ends, within = CLOSED_BY[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-        if m[3].endswith("/") and tag not in ("html", "body"):
+            bound = max((places[t][-1] for t in within if places.get(t)), default=0)
+            k = max((places[t][-1] for t in ends if places.get(t)), default=0)
+            if k > bound:
+                cut(k)
+        if attributes.endswith("/") and tag not in ("html", "body"):
             continue
-        classes, words, hidden = _attributes(m[3]) if m[3] else ([], set(), False)
+        classes, words, hidden, _ = _attributes(attributes) if attributes else ([], set(), False, False)
+        top = stack[-1]
         core = tag in ("html", "body", "main", "article")
-        dropped = stack[-1][3] or tag in DROPPED or hidden
-        suspects = stack[-1][4] if core or dropped else suspect(words)
+        dropped = top.dropped or tag in DROPPED or hidden
+        suspect = top.suspect if core or dropped or not words & NOISE else suspected(words)
         if tag in ("main", "article") and not words & NOISE:
-            holders.update(suspects)
-        path = f"{stack[-1][1]}>{tag}{''.join('.' + c for c in classes)}" if stack[-1][1] else f"{tag}{''.join('.' + c for c in classes)}"
-        node = None
+            holds[suspect] = True
+        node = top.node
         if not dropped:
             factor = 1.5 if tag in ("article", "main") else 0.8 if tag in ("html", "body") else 1.3 if words & SIGNAL else 1.0
-            nodes.append((path, factor * (1 + 0.01 * min(len(stack), 30)), next(s[2] for s in reversed(stack) if s[2] is not None)))
-            node = len(nodes) - 1
-        stack.append((tag, path, node, dropped, suspects, stack[-1][5] or tag in ("article", "main") or bool(words & SIGNAL)))
+            own = f"{tag}{''.join('.' + c for c in classes)}"
+            path = xxhash.xxh64_intdigest(own.encode("utf-8", "replace"), seed=paths[node]) >> 1
+            node = container(path, factor * (1 + 0.01 * min(len(stack), 30)), node, page.depth[node] + 1)
+        push(_Open(tag, node, dropped, suspect, top.article or tag in ("article", "main") or bool(words & SIGNAL)))
     flush()
-    total, own, size = 0, [0] * len(soft), [0] * len(soft)
-    for block, _, in_links, _, suspects in blocks:
-        total += len(block) - in_links
-        for k in suspects:
-            own[k] += len(block) - in_links
-            size[k] += len(block)
-    most = lambda k: 2 * own[k] >= total and (k in holders or 10 * own[k] >= 9 * total)
-    noise = {k for k in range(len(soft)) if not (most(k) or soft[k] and 2 * own[k] > size[k])}
-    return [b[:4] for b in blocks if noise.isdisjoint(b[4])], nodes
-
-
-def scores(blocks: list, nodes: list) -> list[float]:
+
+    own, size = [0] * len(soft), [0] * len(soft)
+    for block, _, in_links, k in blocks:
+        own[k] += len(block) - in_links
+        size[k] += len(block)
+    for k in range(len(soft) - 1, 0, -1):
+        own[around[k]] += own[k]
+        size[around[k]] += size[k]
+        holds[around[k]] |= holds[k]
+    total = own[0]
+    noise = [False]
+    for k in range(1, len(soft)):
+        most = 2 * own[k] >= total and (holds[k] or 10 * own[k] >= 9 * total)
+        noise.append(noise[around[k]] or not (most or soft[k] and 2 * own[k] > size[k]))
+    page.first = [-1] * len(paths)
+    page.last = [-1] * len(paths)
+    for block, node, in_links, k in blocks:
+        if not noise[k]:
+            i = len(page.text)
+            page.first[node] = i if page.first[node] < 0 else page.first[node]
+            page.last[node] = i + 1
+            page.text.append(block)
+            page.linked.append(in_links)
+            page.node.append(node)
+    for k in range(len(paths) - 1, 0, -1):
+        if page.first[k] >= 0:
+            up = page.parent[k]
+            page.first[up] = page.first[k] if page.first[up] < 0 else min(page.first[up], page.first[k])
+            page.last[up] = max(page.last[up], page.last[k])
+    return page
+
+
+def scores(page: Page) -> list[float]:
     """Each container's score: characters of text outside links below it, by what kind of element it is."""
-    sums = [0.0] * len(nodes)
-    for text, around, linked, _ in blocks:
-        worth = len(text) - linked
-        for k in around:
-            sums[k] += worth
-    return [s * f for s, (_, f, _) in zip(sums, nodes)]
+    sums = [0.0] * len(page.path)
+    for text, linked, node in zip(page.text, page.linked, page.node):
+        sums[node] += len(text) - linked
+    for k in range(len(sums) - 1, 0, -1):
+        sums[page.parent[k]] += sums[k]
+    return [s * f for s, f in zip(sums, page.factor)]
 
 
-def best_of(blocks: list, nodes: list) -> tuple[int, list[float]]:
+def best_of(page: Page) -> tuple[int, list[float]]:
     """The page's best container, and all scores.
 
-    Where all that a container around it has besides is prose of its own, outside links, that
+    Where all that a container around it has besides is text of its own, outside links, that
     container is the best one; it takes the best score and those within it lose a tenth.
     """
-    got = scores(blocks, nodes)
+    got = scores(page)
     first = best = max(range(len(got)), key=lambda k: (got[k], -k))
     k = first
-    while (outer := nodes[k][2]) > 0 and nodes[outer][1] >= 1.0:
-        more = [b for b in blocks if outer in b[1] and k not in b[1]]
-        if not all(prose and around[-1] == outer and 2 * linked < len(text) for text, around, linked, prose in more):
+    while (outer := page.parent[k]) > 0 and page.factor[outer] >= 1.0 and page.first[k] >= 0:
+        more = [*range(page.first[outer], page.first[k]), *range(page.last[k], page.last[outer])]
+        if not all(page.node[i] == outer and 2 * page.linked[i] < len(page.text[i]) for i in more):
             break
         k = outer
         best = outer if more else best
     k, top = first, got[first]
     while k != best:
         got[k] *= 0.9
-        k = nodes[k][2]
+        k = page.parent[k]
     if best != first:
         got[best] = top
     return best, got
 
 
 def votes(html: str) -> Counter:
-    """Thousandths of a vote for each path: its best container's part of the page's best score."""
-    blocks, nodes = parse(html)
-    k, got = best_of(blocks, nodes)
+    """Thousandths of a vote for each (depth, path): its best container's part of the page's best score."""
+    page = parse(html)
+    k, got = best_of(page)
     best = got[k]
     out: Counter = Counter()
     if best > 0:
-        for (path, _, _), s in zip(nodes, got):
+        for path, depth, s in zip(page.path, page.depth, got):
             if path and s > 0:
-                out[path] += s
+                out[depth, path] += s
         out = Counter({p: min(1000, round(1000 * s / best)) for p, s in out.items()})
     return out
 
 
-def extract(html: str, path: str | None) -> str:
+def extract(html: str, path: int | None) -> str:
     """The blocks below containers of this path, or below the page's best one if they hold under a quarter of its text."""
-    blocks, nodes = parse(html)
-    inside = {k for k, (p, _, _) in enumerate(nodes) if p == path} if path else set()
-    found = [b[0] for b in blocks if inside.intersection(b[1])]
-    best, _ = best_of(blocks, nodes)
-    own = [b[0] for b in blocks if best in b[1]]
+    page = parse(html)
+    best, _ = best_of(page)
+    own = page.text[page.first[best] : page.last[best]] if page.first[best] >= 0 else []
+    found = []
+    if path:
+        inside = [False] * len(page.path)
+        for k in range(1, len(inside)):
+            inside[k] = page.path[k] == path or inside[page.parent[k]]
+        found = [t for t, node in zip(page.text, page.node) if inside[node]]
     if 4 * sum(map(len, found)) < sum(map(len, own)):
         found = own
     return "\n".join(found)
@@ -261,7 +405,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """The winning path of each host; ties go to the path that sorts last.
+    """The winning path of each host; ties go to the deeper path, then to the greater hash.
 
     Votes are summed within each batch and then per (host, path), so a hot host is a few
     rows from each task.
@@ -269,17 +413,19 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple[str, str], int] = {}
+            total: dict[tuple[str, int, int], int] = {}
             for host, html in zip(*(c.to_pylist() for c in batch.columns)):
-                for path, v in votes((html or b"").decode("utf-8", "replace")).items():
-                    total[host, path] = total.get((host, path), 0) + v
+                for (depth, path), v in votes((html or b"").decode("utf-8", "replace")).items():
+                    total[host, depth, path] = total.get((host, depth, path), 0) + v
             if total:
-                hosts, paths = zip(*total)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(paths), pa.array(total.values(), pa.int64())], names=["host", "path", "votes"])
+                hosts, depths, paths = zip(*total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hosts), pa.array(depths, pa.int64()), pa.array(paths, pa.int64()), pa.array(total.values(), pa.int64())], names=["host", "depth", "path", "votes"]
+                )
 
     cast = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("binary").alias("html"))
-    summed = cast.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return summed.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("top")).select("host", F.col("top.path").alias("path"))
+    summed = cast.mapInArrow(run, "host string, depth long, path long, votes long").groupBy("host", "depth", "path").agg(F.sum("votes").alias("votes"))
+    return summed.groupBy("host").agg(F.max(F.struct("votes", "depth", "path")).alias("top")).select("host", F.col("top.path").alias("path"))
 
 
 def extract_pages(pages: DataFrame, max_broadcast: int = 50_000) -> DataFrame:
