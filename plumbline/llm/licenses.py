@@ -221,10 +221,9 @@ def _base(docs: DataFrame, text: str, found_rules: list[LicenseRule]) -> DataFra
     d = d.withColumn("__w", F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _BREAK, -1), ""))
     d = d.withColumn("n_words", F.size("__w").cast("long")).withColumn("__norm", F.array_join("__w", " "))
     d = d.withColumn("__low", F.lower("__norm"))
-    gate = F.lit(False)
-    for keyword in keywords(found_rules):
-        gate = gate | F.contains("__low", F.lit(keyword))
-    d = d.withColumn("__norm", F.when(gate, F.col("__norm"))).drop("__w", "__low", text)
+    known = F.array(*[F.lit(k) for k in keywords(found_rules)])
+    d = d.withColumn("__keys", F.filter(known, lambda k: F.contains(F.col("__low"), k)))
+    d = d.withColumn("__norm", F.when(F.size("__keys") > 0, F.col("__norm"))).drop("__w", "__low", text)
     norm, count, first, last, labels = F.col("__norm"), [], [], [], []
     for phrase, label in BASE_PHRASES:
         p = _at_words(phrase)
@@ -246,21 +245,21 @@ def _base(docs: DataFrame, text: str, found_rules: list[LicenseRule]) -> DataFra
 
 
 def detections(texts: DataFrame, found_rules: list[LicenseRule]) -> DataFrame:
-    """Detections (rid, rule, start, end, label, priority, weight, suppressed) of texts (__rid, __norm)."""
-    table = F.array(*[
-        F.struct(F.lit(i).alias("no"), F.lit(r.keyword).alias("keyword"), F.lit(_at_words(r.pattern)).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"))
-        for i, r in enumerate(found_rules)
-    ])
-    d = texts.where("__norm IS NOT NULL").withColumn("__low", F.lower("__norm"))
-    d = d.select("__rid", "__norm", F.explode(F.filter(table, lambda r: F.contains(F.col("__low"), r["keyword"]))).alias("r"))
-    pairs = F.zip_with(
-        F.split("__norm", F.col("r.pattern"), -1),
-        F.regexp_extract_all("__norm", F.col("r.pattern"), F.lit(0)),
-        lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n")),
-    )
-    d = d.where(F.regexp_like("__norm", F.col("r.pattern"))).select("__rid", "r.*", F.posexplode(pairs).alias("k", "m"))
-    upto = F.sum(F.col("m.gap") + F.col("m.n")).over(W.partitionBy("__rid", "no").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
-    d = d.where("m.n IS NOT NULL").withColumn("end", upto).withColumn("start", F.col("end") - F.col("m.n")).drop("m", "k")
+    """Detections (rid, rule, start, end, label, priority, weight, suppressed) of texts (__rid, __norm, __keys).
+
+    A rule's matches are marked by two control characters, which no text of words holds, in one
+    pass of its regex; their places are sums of the lengths between the marks.
+    """
+    spark = texts.sparkSession
+    rows = [(i, r.keyword, _at_words(r.pattern), r.label, r.priority, r.weight) for i, r in enumerate(found_rules)]
+    table = spark.createDataFrame(rows, "no int, keyword string, pattern string, label string, priority int, weight double")
+    d = texts.where("__norm IS NOT NULL").select("__rid", "__norm", F.explode("__keys").alias("keyword"))
+    d = d.join(F.broadcast(table), "keyword")  # the hand-written rules, some hundred rows
+    d = d.withColumn("__marked", F.regexp_replace("__norm", F.col("pattern"), F.lit("\x01$0\x02"))).where(F.contains("__marked", F.lit("\x01"))).drop("__norm")
+    d = d.select("__rid", "no", "keyword", "label", "priority", "weight", F.posexplode(F.split("__marked", "\x01", -1)).alias("k", "piece"))
+    length = F.length("piece") - F.when(F.col("k") > 0, 1).otherwise(0)
+    before = F.sum(length).over(W.partitionBy("__rid", "no").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("start", before).where("k > 0").withColumn("end", F.col("start") + F.instr("piece", "\x02") - 1).drop("k", "piece")
     # what comes before in this order and ends no sooner holds the detection within itself
     before = W.partitionBy("__rid").orderBy("start", F.desc("end"), F.desc("priority"), "no").rowsBetween(W.unboundedPreceding, -1)
     levels = sorted({r.priority for r in found_rules})
@@ -285,7 +284,7 @@ def scan(docs: DataFrame, text: str = "text", found_rules: list[LicenseRule] | N
         .groupBy("__rid").agg(F.collect_set("label").alias("__more"), F.max("weight").alias("__weight"))
     )
     none = F.array().cast("array<string>")
-    d = rows.drop("__norm").join(per_row, "__rid", "left")
+    d = rows.drop("__norm", "__keys").join(per_row, "__rid", "left")
     base_weight = F.when(F.size("__base") > 0, 0.5).otherwise(0.0)
     return d.withColumns({
         "base_labels": F.array_join(F.sort_array("__base"), ","),
