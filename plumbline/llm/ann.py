@@ -1,9 +1,9 @@
 """Nearest neighbours by a hierarchical k-means tree with best-bin-first search (operator 8).
 
 The tree is fitted on a bounded sample; every vector is indexed in a leaf. A query walks the
-tree through a priority queue and visits leaves best first; how many is widened on held-out
-sample queries until their recall reaches the target. A query whose leaves hold too few
-vectors goes on to further leaves.
+tree through a priority queue and visits leaves best first; how many is widened until the
+recall of a sample of the queries, held out from the fit, reaches the target. A query whose
+leaves hold too few vectors goes on to further leaves.
 """
 
 from __future__ import annotations
@@ -92,13 +92,12 @@ class Tree:
         return found
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, target: float, n_queries: int = 256) -> int:
-    """Fewest leaf visits, within a tenth, at which sample queries find ``target`` of their k nearest."""
-    q = sample[: min(n_queries, len(sample))]
+def calibrate(tree: Tree, sample: np.ndarray, q: np.ndarray, k: int, target: float) -> int:
+    """Fewest leaf visits, within a tenth, at which queries find ``target`` of their k nearest in the sample, themselves not."""
     near = q @ sample.T
-    near[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near[near > 1 - 1e-12] = -np.inf
     k = min(k, len(sample) - 1)
-    if k < 1:
+    if k < 1 or not len(q):
         return tree.n_leaves
     true = np.argpartition(-near, k - 1, axis=1)[:, :k]
     leaf = tree.leaf_of(sample)
@@ -132,6 +131,7 @@ def nearest(
     k: int = 5,
     target_recall: float = 0.97,
     max_fit: int = 20_000,
+    max_calibrate: int = 512,
     leaf_rows: int = 256,
     block: int = 4096,
     vec_id: str = "vec_id",
@@ -144,7 +144,7 @@ def nearest(
     Repeated rows count once. Equal vectors are indexed once, with their k + 1 smallest ids,
     which is all that an answer can need; so a vector that a third of the rows share is one
     entry. The tree is fitted on ``max_fit`` distinct vectors at most, those with the smallest
-    hashes; leaves hold ``leaf_rows`` rows on average, more once there are more than
+    hashes, less the ``max_calibrate`` queries at most that it is calibrated on; leaves hold ``leaf_rows`` rows on average, more once there are more than
     ``max_fit * leaf_rows / 8`` rows, and are worked on in blocks. An empty table stays empty.
     """
     empty = "query_id long, rank int, vec_id long, score double"
@@ -179,10 +179,14 @@ def nearest(
     if n == 0:
         return spark.createDataFrame([], empty)
     picked = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(max_fit).collect()
-    sample = _unit(np.frombuffer(b"".join(bytes(r.vec) for r in picked), dtype=kind).reshape(-1, dim))
+    asking = asked.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(max_calibrate).collect()
+    held_out = {bytes(r.vec) for r in asking}
+    fitted = [v for v in (bytes(r.vec) for r in picked) if v not in held_out] or sorted(held_out)
+    matrix = lambda vs: _unit(np.frombuffer(b"".join(vs), dtype=kind).reshape(-1, dim))
+    sample = matrix(fitted)
     leaves = int(np.clip(n // leaf_rows, 1, max(1, len(sample) // 8)))
     tree = Tree(sample, -(-len(sample) // leaves))
-    visits = calibrate(tree, sample, k, target_recall)
+    visits = calibrate(tree, sample, matrix(sorted(held_out)) if held_out else sample[:0], k, target_recall)
     shared = spark.sparkContext.broadcast(pickle.dumps(tree))  # max_fit / 4 centres at most
 
     def assign(batches):
