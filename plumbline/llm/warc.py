@@ -235,10 +235,10 @@ def lookup(keys: DataFrame, shards: DataFrame, index_dir: str) -> DataFrame:
                         k, page, file, start, size = lines[j].split("\t")
                         out.append((k, int(page) if page else None, file, int(start), int(size)))
                         j += 1
+                        if len(out) >= 20000:  # one key may have most of a shard's captures
+                            yield _rows(out, CAPTURE)
+                            out = []
                     i += 1
-                if len(out) >= 20000:
-                    yield _rows(out, CAPTURE)
-                    out = []
             if out:
                 yield _rows(out, CAPTURE)
 
