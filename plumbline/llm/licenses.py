@@ -215,15 +215,24 @@ def keywords(found_rules: list[LicenseRule]) -> list[str]:
     return sorted({r.keyword for r in found_rules} | {phrase for phrase, _ in BASE_PHRASES})
 
 
+def _prefilter(words: list[str]) -> str:
+    """A regex that finds any keyword at the start of a word, where a rule's words can only stand; by first letters, then the rest."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[0], []).append(w[1:])
+    return "(?<![^ ])(?:" + "|".join(f"{c}(?:{'|'.join(r)})" for c, r in sorted(rest.items())) + ")"
+
+
 def _base(docs: DataFrame, text: str, found_rules: list[LicenseRule]) -> DataFrame:
     """rid, the caller's columns, n_words and the base; norm for texts with a keyword, else null."""
     d = docs.select("*", F.monotonically_increasing_id().alias("__rid"))
     d = d.withColumn("__w", F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _BREAK, -1), ""))
     d = d.withColumn("n_words", F.size("__w").cast("long")).withColumn("__norm", F.array_join("__w", " "))
     d = d.withColumn("__low", F.lower("__norm"))
+    gate = F.col("__low").rlike(_prefilter(keywords(found_rules)))
     known = F.array(*[F.lit(k) for k in keywords(found_rules)])
-    d = d.withColumn("__keys", F.filter(known, lambda k: F.contains(F.col("__low"), k)))
-    d = d.withColumn("__norm", F.when(F.size("__keys") > 0, F.col("__norm"))).drop("__w", "__low", text)
+    d = d.withColumn("__keys", F.when(gate, F.filter(known, lambda k: F.contains(F.col("__low"), k))))
+    d = d.withColumn("__norm", F.when(F.col("__keys").isNotNull(), F.col("__norm"))).drop("__w", "__low", text)
     norm, count, first, last, labels = F.col("__norm"), [], [], [], []
     for phrase, label in BASE_PHRASES:
         p = _at_words(phrase)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, html, licenses, lm, mixing, packing, quality, secrets, similarity, warc
+from plumbline.llm import ann, html, licenses, lm, mixing, packing, quality, secrets, similarity, sql, warc
 
 
 def tokenizer_path() -> str:
@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
