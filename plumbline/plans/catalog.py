@@ -516,12 +516,15 @@ def q56_planes(spark, sf):
     return spark.createDataFrame([(k, *map(float, p.normal), p.offset, p.support) for k, p in enumerate(found)], "plane int, nx double, ny double, nz double, offset double, support long")
 
 
-@query()
+@query("SELECT chunk, -2 * chunk / 100.0::DOUBLE AS dx, -chunk / 100.0::DOUBLE AS dz, 21 AS pairs FROM (SELECT DISTINCT l_linenumber - 1 AS chunk FROM lineitem)")
 def q57_drift(spark, sf):
-    """Corrections of the cloud's chunks: pairs are laid on each other again and again."""
-    d = _cloud(spark, sf).select(F.lit("lineitem").alias("capture"), (F.col("chunk") - 1).alias("chunk"), (F.col("x") / 10).alias("x"), (F.col("z") / 5).alias("y"), (F.col("y") / 20).alias("z"))
-    floor = spark.createDataFrame([("lineitem", -0.25)], "capture string, floor double")
-    return drift.estimate(drift.wall_cells(d, floor), 7)
+    """Prices as steps of 5 cm along the walls of a 6 by 5 m room, a chunk a line number, each 2 cm and 1 cm on: the SQL states what undoes that."""
+    d = _t(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).alias("chunk"), F.floor(F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(2200)) / 5).alias("k")).distinct()
+    at = F.col("k") * 0.05
+    side = lambda a, b, c, e: F.when(at < 6, a).when(at < 11, b).when(at < 17, c).otherwise(e)
+    x, z = side(at, F.lit(6.0), 17 - at, F.lit(0.0)), side(F.lit(0.0), at - 6, F.lit(5.0), 22 - at)
+    d = d.select(F.lit("lineitem").alias("capture"), "chunk", (x + 0.02 * F.col("chunk")).alias("x"), (z + 0.01 * F.col("chunk")).alias("z"))
+    return drift.estimate(d, 7).select("chunk", *[(F.round(c, 2) + 0.0).alias(c) for c in ("dx", "dz")], "pairs")
 
 
 # q25, q27, q45 and q47 keep to the chunks of their SQL; these do every chunk and every two of them
