@@ -32,12 +32,14 @@ def knn(queries: DataFrame, points: DataFrame, k: int, dims: list[str], save: Ca
     """
     known = " AND ".join(f"{d} IS NOT NULL" for d in dims)
     queries, points = queries.where(known).select("id", *dims), points.where(known).select("id", *dims)
-    ends = points.unionByName(queries).agg(*[f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    inner = lambda share: lambda d: F.percentile_approx(d, share)  # noqa: E731 - where most points lie, whatever stray ones there are
+    ends = points.unionByName(queries).agg(*[f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max), ("from", inner(0.02)), ("to", inner(0.98)))]).first()
     total = points.count()
     if not total or ends["lo" + dims[0]] is None:
         return queries.select("id", F.col("id").alias("near"), F.lit(1).alias("rank")).limit(0)
     extent = max(ends[f"hi{d}"] - ends[f"lo{d}"] for d in dims) or 1.0
-    size, done = extent * min(1.0, (k / total) ** (1 / len(dims))), None
+    most = max(ends[f"to{d}"] - ends[f"from{d}"] for d in dims) or extent
+    size, done = min(extent, most * min(1.0, (k / total) ** (1 / len(dims)))), None
     while True:
         cells = lambda c: [F.floor((F.col(d) - ends[f"lo{d}"]) / size).cast("long").alias(f"__{d}") for d in c]  # noqa: E731, B023
         q = queries.select("id", *dims, *cells(dims))

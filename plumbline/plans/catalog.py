@@ -224,10 +224,13 @@ def q24_pair_overlap(spark, sf):
     return spatial.pair_overlaps(_cells(spark, sf), "chunk", ["ix", "iz"]).where("shared > 5")
 
 
-@query(f"SELECT count(CASE WHEN a.ix IS NOT NULL AND b.ix IS NOT NULL THEN 1 END)::BIGINT AS both, count(*)::BIGINT AS either FROM (SELECT DISTINCT ix, iz FROM {CELLS} WHERE chunk = 1) a FULL JOIN (SELECT DISTINCT ix, iz FROM {CELLS} WHERE chunk = 2) b ON a.ix = b.ix AND a.iz = b.iz")
+_OWN = f"WITH c AS (SELECT DISTINCT chunk, ix, iz FROM {CELLS}), p AS (SELECT a.chunk AS a, b.chunk AS b FROM (SELECT DISTINCT chunk FROM c) a JOIN (SELECT DISTINCT chunk FROM c) b ON a.chunk < b.chunk)"
+
+
+@query(f"""{_OWN}, n AS (SELECT chunk, count(*) AS n FROM c GROUP BY chunk), s AS (SELECT x.chunk AS a, y.chunk AS b, count(*) AS m FROM c x JOIN c y USING (ix, iz) WHERE x.chunk < y.chunk GROUP BY 1, 2)
+SELECT p.a, p.b, coalesce(m, 0)::BIGINT AS both, (u.n + v.n - coalesce(m, 0))::BIGINT AS either FROM p JOIN n u ON p.a = u.chunk JOIN n v ON p.b = v.chunk LEFT JOIN s ON p.a = s.a AND p.b = s.b""")
 def q25_mask_iou(spark, sf):
-    c = _cells(spark, sf)
-    return grid.iou(c.where("chunk = 1"), c.where("chunk = 2"), ["ix", "iz"])
+    return grid.pair_ious(_cells(spark, sf), "chunk", ["ix", "iz"])
 
 
 @query(f"SELECT count(*)::BIGINT AS cells, count(*) * 10.0::DOUBLE AS area FROM (SELECT DISTINCT ix, iz FROM {CELLS})")
@@ -235,11 +238,9 @@ def q26_union_area(spark, sf):
     return _cells(spark, sf).select("ix", "iz").distinct().agg(F.count("*").alias("cells"), (F.count("*") * F.lit(10.0)).alias("area"))
 
 
-@query(f"(SELECT ix, iz, 'both' AS part FROM (SELECT ix, iz FROM {CELLS} WHERE chunk = 1 INTERSECT SELECT ix, iz FROM {CELLS} WHERE chunk = 7)) UNION ALL (SELECT ix, iz, 'first' AS part FROM (SELECT ix, iz FROM {CELLS} WHERE chunk = 1 EXCEPT SELECT ix, iz FROM {CELLS} WHERE chunk = 7))")
+@query(f"{_OWN} SELECT p.a, p.b, x.ix, x.iz, CASE WHEN y.ix IS NULL THEN 'first' ELSE 'both' END AS part FROM p JOIN c x ON p.a = x.chunk LEFT JOIN c y ON p.b = y.chunk AND x.ix = y.ix AND x.iz = y.iz")
 def q27_cell_sets(spark, sf):
-    c = _cells(spark, sf)
-    a, b = c.where("chunk = 1").select("ix", "iz"), c.where("chunk = 7").select("ix", "iz")
-    return a.intersect(b).withColumn("part", F.lit("both")).unionByName(a.exceptAll(b).distinct().join(b, ["ix", "iz"], "left_anti").withColumn("part", F.lit("first")))
+    return grid.pair_cell_sets(_cells(spark, sf), "chunk", ["ix", "iz"])
 
 
 _POLY = [(5.5, 10.5), (40.5, 5.5), (45.5, 60.5), (25.5, 30.5), (10.5, 80.5)]
@@ -306,11 +307,11 @@ def q33_plane_support(spark, sf):
     return d.select(F.explode(F.array(*[F.struct(F.lit(p[0]).alias("id"), F.col(f"s{p[0]}").alias("support")) for p in _PLANES])).alias("r")).select("r.*")
 
 
-@query("SELECT q.vec_id AS id, p.vec_id AS near, rank::INT AS rank FROM (SELECT q.vec_id AS qi, p.vec_id AS pi, row_number() OVER (PARTITION BY q.vec_id ORDER BY pow(q.embedding[1]::DOUBLE - p.embedding[1]::DOUBLE, 2) + pow(q.embedding[2]::DOUBLE - p.embedding[2]::DOUBLE, 2) + pow(q.embedding[3]::DOUBLE - p.embedding[3]::DOUBLE, 2), p.vec_id) AS rank FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id AND q.label = 0 AND p.label = 1) x JOIN embeddings q ON q.vec_id = qi JOIN embeddings p ON p.vec_id = pi WHERE rank <= 8")
+@query("SELECT q.vec_id AS id, p.vec_id AS near, rank::INT AS rank FROM (SELECT q.vec_id AS qi, p.vec_id AS pi, row_number() OVER (PARTITION BY q.vec_id ORDER BY pow(q.embedding[1]::DOUBLE - p.embedding[1]::DOUBLE, 2) + pow(q.embedding[2]::DOUBLE - p.embedding[2]::DOUBLE, 2) + pow(q.embedding[3]::DOUBLE - p.embedding[3]::DOUBLE, 2), p.vec_id) AS rank FROM embeddings q JOIN embeddings p ON q.vec_id <> p.vec_id AND q.vec_id % 20 = 0) x JOIN embeddings q ON q.vec_id = qi JOIN embeddings p ON p.vec_id = pi WHERE rank <= 8")
 def q34_knn(spark, sf):
     e = [F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("xyz")]
-    d = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", *e)
-    return spatial.knn(d.where("label = 0"), d.where("label = 1"), 8, ["x", "y", "z"], writer(spark, "knn")).select("id", "near", "rank")
+    d = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *e)
+    return spatial.knn(d.where("id % 20 = 0"), d, 8, ["x", "y", "z"], writer(spark, "knn")).select("id", "near", "rank")
 
 
 @query(f"SELECT ix, iz, chunk, n FROM (SELECT ix, iz, chunk, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY ix, iz ORDER BY count(*) DESC, chunk) AS r FROM {CELLS} GROUP BY ix, iz, chunk) WHERE r = 1")
@@ -377,16 +378,19 @@ def q44_json_extract(spark, sf):
     return d.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-_PATCH = f"(SELECT ix, iz FROM (SELECT floor(x/2.0)::BIGINT AS ix, floor(y/1.0)::BIGINT AS iz FROM {CLOUD} WHERE chunk = 7) GROUP BY ix, iz HAVING count(*) >= 2)"
+_PATCH = f"(SELECT chunk, ix, iz FROM (SELECT chunk, floor(x/2.0)::BIGINT AS ix, floor(y/1.0)::BIGINT AS iz FROM {CLOUD}) GROUP BY ALL HAVING count(*) >= 2)"
 
 
-@query(f"""WITH RECURSIVE c AS MATERIALIZED {_PATCH}, w AS (SELECT ix, iz, iz * 100000 + ix AS label FROM c UNION SELECT c.ix, c.iz, w.label FROM w JOIN c ON abs(w.ix - c.ix) <= 1 AND abs(w.iz - c.iz) <= 1 WHERE w.label < c.iz * 100000 + c.ix)
-SELECT label // 100000 AS lz, label % 100000 AS lx, count(*)::BIGINT AS cells FROM (SELECT ix, iz, min(label) AS label FROM w GROUP BY 1, 2) GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE c AS MATERIALIZED {_PATCH},
+e AS MATERIALIZED (SELECT c.chunk, c.ix, c.iz, d.ix AS jx, d.iz AS jz FROM c JOIN (VALUES (-1), (0), (1)) a(dx) ON true JOIN (VALUES (-1), (0), (1)) b(dz) ON true JOIN c d ON c.chunk = d.chunk AND d.ix = c.ix + dx AND d.iz = c.iz + dz),
+w(chunk, ix, iz, label) USING KEY (chunk, ix, iz) AS (SELECT chunk, ix, iz, iz * 100000 + ix FROM c UNION
+SELECT e.chunk, e.jx, e.jz, min(w.label) FROM w JOIN e ON w.chunk = e.chunk AND w.ix = e.ix AND w.iz = e.iz JOIN recurring.w v ON v.chunk = e.chunk AND v.ix = e.jx AND v.iz = e.jz WHERE w.label < v.label GROUP BY 1, 2, 3)
+SELECT chunk, label // 100000 AS lz, label % 100000 AS lx, count(*)::BIGINT AS cells FROM w GROUP BY 1, 2, 3""")
 def q45_components(spark, sf):
-    d = _cloud(spark, sf).where("chunk = 7").select(cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 1.0).alias("iz"))
-    d = grid.cell_counts(d, ["ix", "iz"]).where("n >= 2")
-    out = grid.components(d, writer(spark, "components"))
-    return out.groupBy(F.col("label.iz").alias("lz"), F.col("label.ix").alias("lx")).agg(F.count("*").alias("cells"))
+    d = _cloud(spark, sf).select("chunk", cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 1.0).alias("iz"))
+    d = grid.cell_counts(d, ["chunk", "ix", "iz"]).where("n >= 2")
+    out = grid.components(d, writer(spark, "components"), by=("chunk",))
+    return out.groupBy("chunk", F.col("label.iz").alias("lz"), F.col("label.ix").alias("lx")).agg(F.count("*").alias("cells"))
 
 
 @query("SELECT user_id, round(sum(w * value) / sum(w), 6) AS mean, round(greatest(0, sum(w * value * value) / sum(w) - pow(sum(w * value) / sum(w), 2)), 4) AS var FROM (SELECT *, 1 + event_id % 3 AS w FROM events) GROUP BY 1")
@@ -395,14 +399,13 @@ def q46_weighted_moments(spark, sf):
     return robust.weighted_moments(d, "value", "w", ["user_id"]).select("user_id", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
 
 
-_SEVEN = f"(SELECT DISTINCT ix, iz FROM {CELLS} WHERE chunk = 7)"
-_NINE = "(SELECT ix + dx AS ix, iz + dz AS iz FROM {}, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dz))"
+_NINE = f"(SELECT chunk, ix + dx AS ix, iz + dz AS iz FROM (SELECT DISTINCT chunk, ix, iz FROM {CELLS}), (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dz))"
 
 
-@query(f"SELECT 'dilated' AS kind, ix::BIGINT AS ix, iz::BIGINT AS iz FROM (SELECT DISTINCT ix, iz FROM {_NINE.format(_SEVEN)}) UNION ALL SELECT 'eroded', ix, iz FROM {_NINE.format(_SEVEN)} GROUP BY ix, iz HAVING count(*) = 9")
+@query(f"SELECT 'dilated' AS kind, chunk, ix::BIGINT AS ix, iz::BIGINT AS iz FROM (SELECT DISTINCT chunk, ix, iz FROM {_NINE}) UNION ALL SELECT 'eroded', chunk, ix, iz FROM {_NINE} GROUP BY chunk, ix, iz HAVING count(*) = 9")
 def q47_morphology(spark, sf):
-    c = _cells(spark, sf).where("chunk = 7").select("ix", "iz").distinct()
-    return grid.dilate(c).select(F.lit("dilated").alias("kind"), "ix", "iz").unionByName(grid.erode(c).select(F.lit("eroded").alias("kind"), "ix", "iz"))
+    c, by = _cells(spark, sf).distinct(), ("chunk",)
+    return grid.dilate(c, by=by).withColumn("kind", F.lit("dilated")).unionByName(grid.erode(c, by=by).withColumn("kind", F.lit("eroded")))
 
 
 @query("""SELECT p_brand, count(*)::BIGINT AS n, count(*) FILTER (abs(l_extendedprice / l_quantity - p_retailprice) <= 0.03 * p_retailprice)::BIGINT AS passed, round(median(abs(l_extendedprice / l_quantity - p_retailprice)), 6) AS error
@@ -527,31 +530,6 @@ def q57_drift(spark, sf):
     return drift.estimate(d, 7).select("chunk", *[(F.round(c, 2) + 0.0).alias(c) for c in ("dx", "dz")], "pairs")
 
 
-# q25, q27, q45 and q47 keep to the chunks of their SQL; these do every chunk and every two of them
-@query()
-def q58_chunk_ious(spark, sf):
-    return grid.pair_ious(_cells(spark, sf), "chunk", ["ix", "iz"])
-
-
-@query()
-def q59_chunk_cell_sets(spark, sf):
-    return grid.pair_cell_sets(_cells(spark, sf), "chunk", ["ix", "iz"])
-
-
-@query()
-def q60_chunk_components(spark, sf):
-    d = _cloud(spark, sf).select("chunk", cloud.cell("x", 2.0).alias("ix"), cloud.cell("y", 1.0).alias("iz"))
-    d = grid.cell_counts(d, ["chunk", "ix", "iz"]).where("n >= 2")
-    out = grid.components(d, writer(spark, "components"), by=("chunk",))
-    return out.groupBy("chunk", F.col("label.iz").alias("lz"), F.col("label.ix").alias("lx")).agg(F.count("*").alias("cells"))
-
-
-@query()
-def q61_chunk_morphology(spark, sf):
-    c, by = _cells(spark, sf).distinct(), ("chunk",)
-    return grid.dilate(c, by=by).withColumn("kind", F.lit("dilated")).unionByName(grid.erode(c, by=by).withColumn("kind", F.lit("eroded")))
-
-
 @query(f"""WITH v AS (SELECT chunk, floor(x/2.0)::BIGINT AS ix, floor(y/2.0)::BIGINT AS iy, floor(z/1.0)::BIGINT AS iz, count(*) AS n, avg(y) AS my FROM {CLOUD} GROUP BY ALL)
 SELECT chunk, ix, iy, count(*)::BIGINT AS bands, sum(n)::BIGINT AS n, round(max(my), 6) AS top FROM v GROUP BY ALL HAVING count(*) >= 3""")
 def flagship_voxel_bands(spark, sf):

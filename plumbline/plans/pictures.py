@@ -45,7 +45,7 @@ _CLASS = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in findings.CLASSES)
 @query(f"""WITH m AS (SELECT {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _FEATURES.items())}, {_PROPOSAL} AS proposal, {_SURFACE} AS kind FROM lineitem),
 l AS (SELECT *, proposal = 'ridge' OR (proposal = 'blob' AND {damage.LINE}) AS line FROM m),
 c AS (SELECT *, CASE WHEN proposal = 'pit' THEN 'hole_or_impact' WHEN proposal = 'bulge' THEN 'sagging_or_bulging' WHEN line THEN 'structural_crack' ELSE {_CLASS} END AS class FROM l)
-SELECT kind, class, count(*)::BIGINT AS n, round(sum(CASE WHEN class = 'other_anomaly' THEN 0.3 ELSE 0.6 END * CASE WHEN unseen > 0.3 THEN 0.7 ELSE 1 END), 4) AS sure FROM c
+SELECT kind, class, count(*)::BIGINT AS n, round(sum((CASE WHEN class = 'other_anomaly' THEN 0.3 ELSE 0.6 END * CASE WHEN unseen > 0.3 THEN 0.7 ELSE 1 END)::DOUBLE), 4) AS sure FROM c
 WHERE CASE WHEN proposal IN ('pit', 'bulge') THEN true WHEN line THEN NOT ({damage.JOINT}) AND NOT ({damage.FAINT}) AND NOT ({damage.MIXED}) AND NOT (proposal = 'blob' AND ({damage.OBJECT} OR ({damage.LIGHTING})))
 ELSE NOT (({damage.LIGHTING}) OR {damage.OBJECT} OR {damage.PIECE} OR ({damage.TOO_LARGE}) OR ({damage.PANEL})) AND {damage.ON_KIND} END GROUP BY kind, class""")
 def q63_damage_classes(spark, sf):

@@ -31,13 +31,13 @@ def rows(spark, sf, name, *columns):
 def test_ious(spark, sf, cells):
     c = cells[0]
     want = [(a, b, len(c[a] & c[b]), len(c[a] | c[b])) for a, b in combinations(sorted(c), 2)]
-    assert rows(spark, sf, "q58_chunk_ious", "a", "b", "both", "either") == want
+    assert rows(spark, sf, "q25_mask_iou", "a", "b", "both", "either") == want
 
 
 def test_cell_sets(spark, sf, cells):
     c = cells[0]
     want = [(a, b, *k, "both" if k in c[b] else "first") for a, b in combinations(sorted(c), 2) for k in c[a]]
-    assert rows(spark, sf, "q59_chunk_cell_sets", "a", "b", "ix", "iz", "part") == sorted(want)
+    assert rows(spark, sf, "q27_cell_sets", "a", "b", "ix", "iz", "part") == sorted(want)
 
 
 def test_components(spark, sf, cells):
@@ -53,7 +53,7 @@ def test_components(spark, sf, cells):
                 left -= near
                 todo += near
             want.append((chunk, *min(found), len(found)))
-    assert rows(spark, sf, "q60_chunk_components", "chunk", "lz", "lx", "cells") == sorted(want)
+    assert rows(spark, sf, "q45_components", "chunk", "lz", "lx", "cells") == sorted(want)
 
 
 def test_morphology(spark, sf, cells):
@@ -61,7 +61,7 @@ def test_morphology(spark, sf, cells):
     for chunk, c in cells[0].items():
         want += [("dilated", chunk, x, z) for x, z in {(x + dx, z + dz) for x, z in c for dx, dz in NINE}]
         want += [("eroded", chunk, x, z) for x, z in {(x + dx, z + dz) for x, z in c for dx, dz in NINE} if all((x + dx, z + dz) in c for dx, dz in NINE)]
-    assert rows(spark, sf, "q61_chunk_morphology", "kind", "chunk", "ix", "iz") == sorted(want)
+    assert rows(spark, sf, "q47_morphology", "kind", "chunk", "ix", "iz") == sorted(want)
 
 
 def test_pairs_that_share_nothing(spark):
