@@ -12,17 +12,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and every rule of the cascade keep."""
+    """Documents that the base and every rule of the cascade keep.
+
+    A null or empty text has no words and goes; repeated rows are judged alike; an empty table
+    stays empty; columns other than those of documents are dropped.
+    """
     return quality.judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its five-word shingles or more."""
+    """One document of each group that shares 0.8 of its five-word shingles or more: the smallest id, of repeated rows the first.
+
+    Null and empty texts are linked with nothing and stay, as does a row without an id in a group of
+    its own; an empty table stays empty. Very long texts are compared whole.
+    """
     return similarity.deduplicate(docs.select(COLUMNS), k=5, num=80, den=100)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced."""
+    """All documents, with the secrets in their texts replaced, and n_chars of the texts that changed.
+
+    A null text stays null; repeated rows change alike; an empty table stays empty.
+    """
     docs = docs.select(COLUMNS)
     ledger = secrets.Ledger(spark, store.new_dir(spark, "secrets"))
     ledger.scan(docs)
@@ -33,12 +44,19 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics have their target shares of tokens."""
+    """Documents sampled so that sources, languages and topics have their target shares of tokens.
+
+    Null sources and languages are a value of their own; a text without words has no tokens and is
+    never selected; repeated rows are drawn alike; an empty table stays empty.
+    """
     return mixing.mix(docs.select(COLUMNS)).where("selected").select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, packed into sequences of 4096."""
+    """The documents' ids, packed into sequences of 4096: a row a piece.
+
+    A null or empty text has its end id alone; repeated rows are packed each; an empty table gives no rows.
+    """
     return packing.pack(docs, tokenizer_path)
 
 
