@@ -24,15 +24,15 @@ def robust_interval(rows: DataFrame, value: str, keys: list[str], stretch: float
 
 
 def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:
-    """Dense bins from the least to the greatest: missing ones count zero."""
-    bins = rows.select(F.floor(F.col(value) / width).cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    span = bins.agg(F.min("bin").alias("a"), F.max("bin").alias("b")).where("a IS NOT NULL")
-    return span.select(F.explode(F.sequence("a", "b")).alias("bin")).join(bins, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    """(bin, n): the bins that have values. A stray value is one bin, however far off it is."""
+    return rows.select(F.floor(F.col(value) / width).cast("long").alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def smoothed(bins: DataFrame, half: int = 3) -> DataFrame:
-    """Moving sums over 2 half + 1 bins. The bins of one quantity are few, so one task orders them."""
-    return bins.withColumn("s", F.sum("n").over(W.orderBy("bin").rowsBetween(-half, half)))
+    """(bin, s): moving sums over 2 half + 1 bins, from the least to the greatest bin; bins whose sum is 0 have no row."""
+    ends = bins.agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
+    d = bins.select(F.explode(F.sequence(F.col("bin") - half, F.col("bin") + half)).alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("s"))
+    return d.join(F.broadcast(ends), F.col("bin").between(F.col("a"), F.col("b"))).select("bin", "s")  # a one-row side
 
 
 def mode(bins: DataFrame) -> DataFrame:
@@ -42,10 +42,26 @@ def mode(bins: DataFrame) -> DataFrame:
 
 def highest_peak(bins: DataFrame, share: float = 0.5) -> DataFrame:
     """The highest bin that is a local maximum with at least ``share`` of the greatest smoothed count."""
-    w = W.orderBy("bin")
-    d = smoothed(bins).withColumns({"before": F.lag("s", 1, 0).over(w), "after": F.lead("s", 1, 0).over(w), "top": F.max("s").over(W.partitionBy())})
-    peaks = d.where((F.col("s") >= F.col("before")) & (F.col("s") > F.col("after")) & (F.col("s") >= share * F.col("top")))
-    return peaks.agg(F.max(F.struct("bin", "s")).alias("m")).select("m.bin", "m.s")
+    d = smoothed(bins)
+    beside = lambda step, name: d.select((F.col("bin") + step).alias("bin"), F.col("s").alias(name))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    top = d.agg(F.max("s").alias("top"))
+    peaks = d.join(F.broadcast(top), F.col("s") >= share * F.col("top")).join(beside(1, "before"), "bin", "left").join(beside(-1, "after"), "bin", "left")
+    return peaks.where((F.col("s") >= zero("before")) & (F.col("s") > zero("after"))).agg(F.max(F.struct("bin", "s")).alias("m")).select("m.bin", "m.s")
+
+
+def thin_stretches(bins: DataFrame, share: float = 0.5) -> DataFrame:
+    """(first, last, n): stretches of bins whose smoothed count is under ``share`` of the median of those above 0.
+
+    They are what lies between the stretches that are not thin, so empty bins are never listed one by one.
+    """
+    s = smoothed(bins)
+    full = s.join(F.broadcast(s.agg(F.median("s").alias("m"))), F.col("s") >= share * F.col("m")).select("bin")  # a one-row side
+    ends = bins.agg((F.min("bin") - 1).alias("a"), (F.max("bin") + 1).alias("b"))
+    marks = full.union(ends.select("a")).union(ends.select("b"))
+    # a quantity's occupied bins are few, and one task orders them
+    d = marks.withColumn("next", F.lead("bin").over(W.orderBy("bin"))).where(F.col("next") - F.col("bin") > 1)
+    return d.select((F.col("bin") + 1).alias("first"), (F.col("next") - 1).alias("last"), (F.col("next") - F.col("bin") - 1).alias("n"))
 
 
 def ratio_fit(rows: DataFrame, ratio: str, keys: list[str], least: int = 3) -> DataFrame:

@@ -27,7 +27,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, dims: list[str], save: Ca
     """(id, near, rank): the k nearest points of each query other than itself, ties to the smaller id.
 
     Queries meet the points of their own cell and its neighbours. Whoever has k points within
-    one cell's width is done; the others go on with cells twice as wide, and the last round's
+    one cell's width is done; the others go on with wider cells, and the last round's
     cells hold all points. Fewer than k points give fewer rows; rows with a null place take no part.
     """
     known = " AND ".join(f"{d} IS NOT NULL" for d in dims)
@@ -40,6 +40,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, dims: list[str], save: Ca
     extent = max(ends[f"hi{d}"] - ends[f"lo{d}"] for d in dims) or 1.0
     most = max(ends[f"to{d}"] - ends[f"from{d}"] for d in dims) or extent
     size, done = min(extent, most * min(1.0, (k / total) ** (1 / len(dims)))), None
+    rounds = 0
     while True:
         cells = lambda c: [F.floor((F.col(d) - ends[f"lo{d}"]) / size).cast("long").alias(f"__{d}") for d in c]  # noqa: E731, B023
         q = queries.select("id", *dims, *cells(dims))
@@ -58,23 +59,31 @@ def knn(queries: DataFrame, points: DataFrame, k: int, dims: list[str], save: Ca
         queries = save(queries.join(full, "id", "left_anti"))
         if queries.isEmpty():
             return done
-        size *= 2
+        rounds += 1
+        size *= 2 if rounds < 8 else 16  # what is left by then lies far off
 
 
 def overlaps(rows: DataFrame, key: str, id_: str, start: str, end: str, share: float = 0.5, width: float = 1.0) -> DataFrame:
     """Pairs of a key's intervals that overlap by ``share`` of the shorter one or more.
 
-    Intervals meet in stretches of ``width`` that both touch, so a key with many intervals
-    does not pair them all; a pair counts in the stretch where the later one starts.
+    An interval belongs to the level whose stretches are twice as long as those of the level
+    below, from ``width`` on, and as long as itself: it touches two of them at most. There it
+    meets those of its own and lower levels, so that one endless interval neither becomes
+    endless rows nor makes others meet. A pair counts in the stretch where the later one starts.
     """
-    first, last = F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long")
-    d = rows.where((F.col(end) >= F.col(start))).select(key, id_, start, end, F.explode(F.sequence(first, last)).alias("__b"))
-    a = d.select(key, "__b", F.col(id_).alias("a"), F.col(start).alias("a0"), F.col(end).alias("a1"))
-    b = d.select(key, "__b", F.col(id_).alias("b"), F.col(start).alias("b0"), F.col(end).alias("b1"))
-    shared = F.least("a1", "b1") - F.greatest("a0", "b0")
-    shorter = F.least(F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0"))
-    once = F.floor(F.greatest("a0", "b0") / width).cast("long") == F.col("__b")
-    return a.join(b, [key, "__b"]).where((F.col("a") < F.col("b")) & once & (shared >= share * shorter) & (shared > 0)).select(key, "a", "b", shared.alias("shared"))
+    size = F.greatest(F.col(end) - F.col(start), F.lit(float(width))) / width
+    d = rows.where(F.col(end) >= F.col(start)).select(key, F.col(id_).alias("id"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.ceil(F.log2(size)).cast("int").alias("own"))
+    top = d.agg(F.coalesce(F.max("own"), F.lit(0)).alias("top"))
+    wide = lambda level: F.pow(F.lit(2.0), level) * width
+    stretches = lambda d: d.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("s") / wide(F.col("level"))).cast("long"), F.floor(F.col("e") / wide(F.col("level"))).cast("long"))))
+    home = stretches(d.withColumn("level", F.col("own"))).select(key, "level", "stretch", F.col("id").alias("i"), F.col("s").alias("s0"), F.col("e").alias("e0"))
+    met = stretches(d.join(F.broadcast(top)).withColumn("level", F.explode(F.sequence("own", "top")))).select(key, "level", "stretch", "own", F.col("id").alias("j"), F.col("s").alias("s1"), F.col("e").alias("e1"))  # a one-row side
+    shared = F.least("e0", "e1") - F.greatest("s0", "s1")
+    shorter = F.least(F.col("e0") - F.col("s0"), F.col("e1") - F.col("s1"))
+    once = F.floor(F.greatest("s0", "s1") / wide(F.col("level"))).cast("long") == F.col("stretch")
+    other = (F.col("own") < F.col("level")) | (F.col("i") < F.col("j"))
+    pairs = home.join(met, [key, "level", "stretch"]).where(other & (F.col("i") != F.col("j")) & once & (shared >= share * shorter) & (shared > 0))
+    return pairs.select(key, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), shared.alias("shared"))
 
 
 def pair_overlaps(sets: DataFrame, owner: str, item: list[str]) -> DataFrame:

@@ -186,9 +186,7 @@ def q19_tolerant_runs(spark, sf):
 
 @query(_BINS + ", m AS (SELECT median(s) AS m FROM s WHERE s > 0), e AS (SELECT bin FROM s, m WHERE s < 0.5 * m) SELECT min(bin)::BIGINT AS first, max(bin)::BIGINT AS last, count(*)::BIGINT AS n FROM (SELECT bin, bin - row_number() OVER (ORDER BY bin) AS g FROM e) GROUP BY g")
 def q20_empty_gaps(spark, sf):
-    s = robust.smoothed(_bins(spark, sf))
-    low = s.join(F.broadcast(s.where("s > 0").agg(F.median("s").alias("m"))), F.col("s") < 0.5 * F.col("m"))  # a one-row side
-    return sequence.islands(low.withColumn("k", F.lit(0)), ["k"], "bin").select("first", "last", "n")
+    return robust.thin_stretches(_bins(spark, sf))
 
 
 @query("""WITH h AS (SELECT DISTINCT user_id, hour(ts)::BIGINT AS d FROM events), g AS (SELECT *, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g FROM h), r AS (SELECT user_id, min(d) AS a, max(d) AS z, count(*) AS n FROM g GROUP BY user_id, g),
