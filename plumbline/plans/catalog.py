@@ -353,7 +353,8 @@ def q40_scope(spark, sf):
     return d.withColumn("quantity", F.round("quantity", 4))
 
 
-@query()
+@query("""WITH o AS (SELECT o_custkey, list(struct_pack(o_orderkey := o_orderkey, o_totalprice := o_totalprice) ORDER BY o_orderkey, o_totalprice) AS orders FROM orders GROUP BY o_custkey)
+SELECT c_custkey, to_json(struct_pack(c_name := c_name, orders := orders))::VARCHAR AS plan FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def q41_document_assembly(spark, sf):
     o = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("orders"))
     return _t(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.to_json(F.struct("c_name", "orders"), {"ignoreNullFields": "false"}).alias("plan"))
