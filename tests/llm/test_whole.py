@@ -121,13 +121,28 @@ def test_lm_base_columns(spark, sf):
     n = sum(c.values())
     want = {i: (held[i], len(t), sum(w in c for w in t), n, sum(math.log10(c[w] + 1) for w in t) - len(t) * math.log10(n + len(c) + 1)) for i, t in rows}
     # few frequent words, so that the others are joined with their counts
-    got = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), n_frequent=500, steps=20).collect()
+    got = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), n_frequent=500, longest=6).collect()
     assert len(got) == len(rows) == len(want)
     for r in got:
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
         assert math.isclose(r.base_score, want[r.doc_id][4], rel_tol=1e-9, abs_tol=1e-6)
 
 
+def test_lm_probabilities_and_held_out_gain(spark, sf):
+    """Probabilities sum to one after any two classes, and held-out texts score better than by word counts alone."""
+    model = lm.LogBilinear(np.array([50.0, 30, 10, 5, 3, 2]), dim=8)
+    cycle = np.array([[i % 6, (i + 1) % 6, (i + 2) % 6] for i in range(6000)], dtype=np.int32)
+    assert model.learn(iter([cycle] * 4), 0.1, 0.5, 3) == 12000
+    left, right, pair = model.tables()
+    p = np.exp(left[:, None, :] + right[None, :, :] - pair[:, :, None])
+    assert np.allclose(p.sum(axis=2), 1, atol=1e-5)
+    assert all(p[a, b, w] > 0.8 for a, b, w in cycle[:6])
+    assert lm.n_classes_of(34_000) < lm.n_classes_of(340_000) < lm.n_classes_of(3_400_000)
+    held = [r for r in lm.score(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score - r.base_score for r in held) > 0.05 * tokens
+
+
 def test_ann_recall_over_several_leaves(spark):
     x = np.random.default_rng(4).normal(size=(4000, 16)).astype(np.float32)
     found = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
