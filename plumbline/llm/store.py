@@ -1,12 +1,13 @@
 """Places that the driver and all executors share.
 
 Intermediate tables and files go below ``spark.checkpoint.dir``. Only where that is
-unset, as in local tests, a temporary folder of this machine takes its place.
+unset and Spark runs in one process, as in tests, a temporary folder takes its place.
 """
 
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for this application's intermediate data, as a URI or path."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="plumbline-")

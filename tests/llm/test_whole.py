@@ -143,6 +143,13 @@ def test_lm_probabilities_and_held_out_gain(spark, sf):
     assert sum(r.score - r.base_score for r in held) > 0.05 * tokens
 
 
+def test_lm_empty_tables_and_nothing_to_train_on(spark):
+    assert lm.score(spark.createDataFrame([], "doc_id long, text string, word string, c long")).collect() == []
+    held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (r,) = lm.score(spark.createDataFrame([(held, "a b c", 1, 2)], "doc_id long, text string, c long, n long")).collect()
+    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 4, 0, 0, 0.0) and math.isfinite(r.score)
+
+
 def test_ann_recall_over_several_leaves(spark):
     x = np.random.default_rng(4).normal(size=(4000, 16)).astype(np.float32)
     found = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
