@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.operators import damage, findings, heights, rules, sharpness, surfaces
+from plumbline.operators import damage, findings, heights, rules, settling, sharpness, surfaces
 from plumbline.plans import scoring
 from plumbline.plans.catalog import CLOUD, _cloud, _t, query
 
@@ -136,3 +136,18 @@ def q70_renumbered(spark, sf):
 def q71_difference_shares(spark, sf):
     d = scoring.stat(_t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_quantity") - 25).alias("d")), "d", ["flag"])
     return d.select("flag", "n", *[F.round(c, 6).alias(c) for c in ("median", "in1", "in3", "in10")])
+
+
+_DOORS = "(SELECT c_nationkey AS capture, c_custkey % 40 AS room, c_custkey AS opening, (c_custkey * 37 % 1009)::DOUBLE * 0.01 AS x, (c_custkey * 53 % 997)::DOUBLE * 0.01 AS y, radians((c_custkey % 4 * 90 + c_custkey % 7 * 2)::DOUBLE) AS t FROM customer)"
+
+
+@query(f"""WITH d AS (SELECT capture, room, opening, x - cos(t) * 0.075 AS qx, y - sin(t) * 0.075 AS qy, cos(t) AS nx, sin(t) AS ny FROM {_DOORS})
+SELECT a.capture, a.room AS room_a, a.opening AS opening_a, b.room AS room_b, b.opening AS opening_b, round(sqrt(pow(a.qx - b.qx, 2) + pow(a.qy - b.qy, 2)), 6) AS apart, round(degrees(acos(greatest(-1, least(1, -(a.nx * b.nx + a.ny * b.ny))))), 3) AS degrees
+FROM d a JOIN d b ON a.capture = b.capture AND a.room < b.room WHERE sqrt(pow(a.qx - b.qx, 2) + pow(a.qy - b.qy, 2)) <= 0.5 AND degrees(acos(greatest(-1, least(1, -(a.nx * b.nx + a.ny * b.ny))))) <= 8.5""")
+def q72_corridors(spark, sf):
+    """Customers as doorways of forty rooms a nation: those that face each other through a wall."""
+    k = F.col("c_custkey")
+    t = F.radians((k % 4 * 90 + k % 7 * 2).cast("double"))
+    d = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("capture"), (k % 40).alias("room"), k.alias("opening"), ((k * 37 % 1009).cast("double") * 0.01).alias("x"), ((k * 53 % 997).cast("double") * 0.01).alias("y"), F.cos(t).alias("nx"), F.sin(t).alias("ny"))
+    p = settling.corridors(d, apart=0.5, turn=8.5)
+    return p.select("capture", "room_a", "opening_a", "room_b", "opening_b", F.round("apart", 6).alias("apart"), F.round("degrees", 3).alias("degrees"))
