@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.operators import damage, findings, heights, rules, settling, sharpness, surfaces
+from plumbline.functions.tables import writer
+from plumbline.operators import damage, findings, grid, heights, matching, rules, settling, sharpness, strips, surfaces
 from plumbline.plans import scoring
 from plumbline.plans.catalog import CLOUD, _cloud, _t, query
 
@@ -151,3 +152,57 @@ def q72_corridors(spark, sf):
     d = _t(spark, sf, "customer").select(F.col("c_nationkey").alias("capture"), (k % 40).alias("room"), k.alias("opening"), ((k * 37 % 1009).cast("double") * 0.01).alias("x"), ((k * 53 % 997).cast("double") * 0.01).alias("y"), F.cos(t).alias("nx"), F.sin(t).alias("ny"))
     p = settling.corridors(d, apart=0.5, turn=8.5)
     return p.select("capture", "room_a", "opening_a", "room_b", "opening_b", F.round("apart", 6).alias("apart"), F.round("degrees", 3).alias("degrees"))
+
+
+_MASK = "(SELECT l_linenumber AS frame, l_quantity::BIGINT AS ix, floor(l_extendedprice / 300)::BIGINT AS iz FROM lineitem WHERE l_discount >= 0.03)"
+
+
+@query(f"""WITH RECURSIVE c AS MATERIALIZED (SELECT frame, ix, iz FROM {_MASK} GROUP BY ALL HAVING count(*) >= 1),
+e AS MATERIALIZED (SELECT c.frame, c.ix, c.iz, d.ix AS jx, d.iz AS jz FROM c JOIN (VALUES (-1), (0), (1)) a(dx) ON true JOIN (VALUES (-1), (0), (1)) b(dz) ON true JOIN c d ON c.frame = d.frame AND d.ix = c.ix + dx AND d.iz = c.iz + dz),
+w(frame, ix, iz, label) USING KEY (frame, ix, iz) AS (SELECT frame, ix, iz, iz * 100000 + ix FROM c UNION
+SELECT e.frame, e.jx, e.jz, min(w.label) FROM w JOIN e ON w.frame = e.frame AND w.ix = e.ix AND w.iz = e.iz JOIN recurring.w v ON v.frame = e.frame AND v.ix = e.jx AND v.iz = e.jz WHERE w.label < v.label GROUP BY 1, 2, 3),
+m AS (SELECT frame, label, count(*)::BIGINT AS area, avg(ix::DOUBLE) AS cx, avg(iz::DOUBLE) AS cy, var_pop(ix::DOUBLE) AS vxx, var_pop(iz::DOUBLE) AS vyy, covar_pop(ix::DOUBLE, iz::DOUBLE) AS vxy, min(ix) AS l, max(ix) AS r, min(iz) AS t, max(iz) AS b FROM w GROUP BY 1, 2)
+SELECT frame, label // 100000 AS lz, label % 100000 AS lx, area, l AS "left", r AS "right", t AS top, b AS bottom, round(cx, 5) AS cx, round(cy, 5) AS cy,
+round(sqrt((vxx + vyy) / 2 + sqrt(pow((vxx - vyy) / 2, 2) + vxy * vxy)), 5) AS along, round(sqrt(greatest(0, (vxx + vyy) / 2 - sqrt(pow((vxx - vyy) / 2, 2) + vxy * vxy))), 3) AS across FROM m""")
+def q73_patch_moments(spark, sf):
+    """Order lines as coloured pixels of seven pictures: the shape of every patch from sums over its pixels."""
+    d = _t(spark, sf, "lineitem").where("l_discount >= 0.03").select(F.col("l_linenumber").alias("frame"), F.col("l_quantity").cast("long").alias("ix"), F.floor(F.col("l_extendedprice") / 300).alias("iz"))
+    m = strips.moments(grid.components(d, writer(spark, "patches"), by=("frame",)), by=("frame",))
+    return m.select("frame", F.col("label.iz").alias("lz"), F.col("label.ix").alias("lx"), "area", "left", "right", "top", "bottom", F.round("cx", 5).alias("cx"), F.round("cy", 5).alias("cy"), F.round("along", 5).alias("along"), F.round("across", 3).alias("across"))
+
+
+_PHOTOS = "(SELECT vec_id // 400 AS room, vec_id % 8 AS photo, vec_id AS feature, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+@query(f"""WITH f AS {_PHOTOS}, d AS MATERIALIZED (SELECT a.room, a.photo AS i, b.photo AS j, a.feature AS a, b.feature AS b, sqrt(list_sum(list_transform(range(1, len(a.e) + 1), lambda k: (a.e[k] - b.e[k]) * (a.e[k] - b.e[k])))) AS far FROM f a JOIN f b ON a.room = b.room AND a.photo < b.photo),
+r AS (SELECT *, row_number() OVER (PARTITION BY room, i, j, a ORDER BY far, b) AS there, row_number() OVER (PARTITION BY room, i, j, b ORDER BY far, a) AS back FROM d),
+s AS (SELECT room, i, j, a, far AS second FROM r WHERE there = 2)
+SELECT room::VARCHAR AS room, i, j, a, b, round(far, 6) AS distance FROM r JOIN s USING (room, i, j, a) WHERE there = 1 AND back = 1 AND far < 0.95 * second""")
+def q74_mutual_matches(spark, sf):
+    """Embeddings as features of eight pictures a room: those that are each other's nearest, by a margin."""
+    k = F.col("vec_id")
+    d = _t(spark, sf, "embeddings").select(F.floor(k / 400).alias("room"), (k % 8).alias("photo"), k.alias("feature"), F.col("embedding").alias("descriptor"))
+    return matching.match(d, ratio=0.95, size=64).withColumn("distance", F.round("distance", 6))
+
+
+_LINKS = "(SELECT c_nationkey AS room, r, r // 2 AS i, r AS j, radians((c_custkey % 90)::DOUBLE) AS t, c_custkey % 3 AS axis FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer))"
+
+
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT room, i, j, cos(t / 2) AS w, CASE WHEN axis = 0 THEN -sin(t / 2) ELSE 0 END AS x, CASE WHEN axis = 1 THEN -sin(t / 2) ELSE 0 END AS y, CASE WHEN axis = 2 THEN -sin(t / 2) ELSE 0 END AS z FROM {_LINKS}),
+c AS (SELECT DISTINCT room, 0::BIGINT AS photo, 1::DOUBLE AS w, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS z FROM l
+UNION ALL SELECT c.room, l.j, c.w * l.w - c.x * l.x - c.y * l.y - c.z * l.z, c.w * l.x + c.x * l.w + c.y * l.z - c.z * l.y, c.w * l.y - c.x * l.z + c.y * l.w + c.z * l.x, c.w * l.z + c.x * l.y - c.y * l.x + c.z * l.w FROM c JOIN l ON l.room = c.room AND l.i = c.photo)
+SELECT room::VARCHAR AS room, photo, round(2 * (w * w + x * x) - 1, 6) + 0.0 AS r11, round(2 * (x * y - w * z), 6) + 0.0 AS r12, round(2 * (x * z + w * y), 6) + 0.0 AS r13, round(2 * (w * w + z * z) - 1, 6) + 0.0 AS r33 FROM c""")
+def q75_rotation_chain(spark, sf):
+    """Customers as rotations from one picture of their nation to another, a tree of them: every picture's rotation into the first one's frame."""
+    r = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
+    d = _t(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("room"), r.cast("long").alias("j"), F.radians((F.col("c_custkey") % 90).cast("double")).alias("t"), (F.col("c_custkey") % 3).alias("axis"))
+    d = d.withColumn("i", F.floor(F.col("j") / 2))
+    about = lambda k: F.when(F.col("axis") == k, F.sin(F.col("t") / 2)).otherwise(0.0)
+    links = d.select("room", "i", "j", F.cos(F.col("t") / 2).alias("w"), about(0).alias("x"), about(1).alias("y"), about(2).alias("z"))
+    zero = F.lit(0).cast("long")
+    tree = d.select("room", F.col("j").alias("photo"), F.lit(0).alias("component"), F.col("i").alias("parent"))
+    tree = tree.union(d.select("room").distinct().select("room", zero, F.lit(0), F.lit(None).cast("long")))
+    c = matching.chain(links, tree, writer(spark, "chain")).select("room", "photo", "q.*")
+    w, x, y, z = map(F.col, "wxyz")
+    out = {"r11": 2 * (w * w + x * x) - 1, "r12": 2 * (x * y - w * z), "r13": 2 * (x * z + w * y), "r33": 2 * (w * w + z * z) - 1}
+    return c.select("room", "photo", *[(F.round(v, 6) + 0.0).alias(n) for n, v in out.items()])
