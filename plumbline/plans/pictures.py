@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.tables import writer
-from plumbline.operators import damage, findings, grid, heights, matching, rules, settling, sharpness, strips, surfaces
+from plumbline.operators import damage, findings, grid, heights, matching, overlap, rules, settling, sharpness, strips, surfaces
 from plumbline.plans import scoring
 from plumbline.plans.catalog import CLOUD, _cloud, _t, query
 
@@ -29,7 +29,7 @@ def q62_lab_cells(spark, sf):
         F.col("l_linenumber").alias("surface"), F.floor("l_quantity").cast("int").alias("row"), F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("col"),
         (F.col("l_discount") * 10).alias("r"), (F.col("l_tax") * 12.5).alias("g"), (F.col("l_quantity") / 50).alias("b"), (F.col("l_returnflag") != "R").alias("valid"), F.lit(None).cast("double").alias("relief"),
     )
-    d = damage.lab_cells(p, 0.005, 0.01)
+    d = damage.lab_cells(p, 0.005, 0.01, ("surface",))
     return d.select("surface", "i", "j", "n", "seen", *[F.round(c, 4).alias(c) for c in "lab"])
 
 
@@ -206,3 +206,23 @@ def q75_rotation_chain(spark, sf):
     w, x, y, z = map(F.col, "wxyz")
     out = {"r11": 2 * (w * w + x * x) - 1, "r12": 2 * (x * y - w * z), "r13": 2 * (x * z + w * y), "r33": 2 * (w * w + z * z) - 1}
     return c.select("room", "photo", *[(F.round(v, 6) + 0.0).alias(n) for n, v in out.items()])
+
+
+_SHOTS = "(SELECT l_orderkey // 40000 AS room, l_linenumber AS photo, l_orderkey % 32 AS v, l_quantity::BIGINT AS u, avg(l_extendedprice) / 20000 AS z FROM lineitem WHERE l_quantity < 48 GROUP BY ALL)"
+
+
+@query(f"""WITH s AS MATERIALIZED (SELECT *, z * sqrt(1 + pow((u - 24) / 40.0, 2) + pow((v - 16) / 40.0, 2)) AS far FROM {_SHOTS} WHERE z > 0.3),
+t AS (SELECT a.*, b.j, 0.12 * (a.photo - b.j) AS t FROM s a JOIN (SELECT DISTINCT room, photo AS j FROM s) b ON a.room = b.room AND a.photo < b.j WHERE a.u % 2 = 0 AND a.v % 2 = 0),
+p AS (SELECT room, photo AS i, j, far, cos(t) * (u - 24) / 40.0 + sin(t) AS x, (v - 16) / 40.0 AS y, cos(t) - sin(t) * (u - 24) / 40.0 AS ahead FROM t),
+q AS (SELECT *, x / ahead * 40 + 24 AS uj, y / ahead * 40 + 16 AS vj FROM p WHERE ahead > 0.2),
+r AS (SELECT q.room, q.i, q.j, ln(q.far / s.far) AS lr FROM q JOIN s ON s.room = q.room AND s.photo = q.j AND s.u = round_even(q.uj, 0) AND s.v = round_even(q.vj, 0) WHERE uj BETWEEN 0 AND 47 AND vj BETWEEN 0 AND 31)
+SELECT room, i, j, count(*)::BIGINT AS n, round(count(*) / 384, 6) AS share, round(median(lr), 5) AS log_ratio, round((quantile_cont(lr, 0.75) - quantile_cont(lr, 0.25)) / 1.349, 5) AS spread FROM r GROUP BY ALL HAVING count(*) / 384 >= 0.04""")
+def q76_depth_ratios(spark, sf):
+    """Order lines as depths of seven pictures a room, each turned a little further: how their scales compare where they overlap."""
+    key = [F.floor(F.col("l_orderkey") / 40000).alias("room"), F.col("l_linenumber").cast("long").alias("photo"), (F.col("l_orderkey") % 32).alias("v"), F.col("l_quantity").cast("long").alias("u")]
+    pixels = _t(spark, sf, "lineitem").where("l_quantity < 48").groupBy(*key).agg((F.avg("l_extendedprice") / 20000).alias("z"))
+    half = 0.06 * F.col("photo")
+    zero = F.lit(0.0)
+    photos = pixels.where(f"z > {overlap.LEAST_DEPTH}").select("room", "photo").distinct().select("room", "photo", F.lit(40.0).alias("f"), F.lit(48).alias("wide"), F.lit(32).alias("high"), F.struct(F.cos(half).alias("w"), zero.alias("x"), F.sin(half).alias("y"), zero.alias("z")).alias("q"))
+    d = overlap.ratios(pixels, photos, stride=2)
+    return d.select("room", "i", "j", "n", *[F.round(c, k).alias(c) for c, k in (("share", 6), ("log_ratio", 5), ("spread", 5))])
