@@ -20,20 +20,6 @@ MAX_APART = 0.15
 MAX_TURN = 8.0
 
 
-def facing(doors: DataFrame, edges: DataFrame, reach: float = 0.5) -> DataFrame:
-    """Doorways with the unit normal (nx, ny) of the nearest side of their own room, which points into the room.
-
-    Ties go to the side that comes first; a doorway farther than ``reach`` from all sides has null normals.
-    """
-    d = doors.select("capture", F.col("room").alias("own"), "opening", "x", "y")
-    near = placing.edge_distance(d, "x", "y", edges, reach).where("own = room")
-    best = near.groupBy("capture", "own", "opening").agg(F.min(F.struct("distance", "x0", "y0", "x1", "y1")).alias("e"))
-    dx, dy = F.col("e.x1") - F.col("e.x0"), F.col("e.y1") - F.col("e.y0")
-    size = F.hypot(dx, dy)
-    normals = best.select("capture", F.col("own").alias("room"), "opening", F.try_divide(-dy, size).alias("nx"), F.try_divide(dx, size).alias("ny"))
-    return doors.join(normals, ["capture", "room", "opening"], "left")
-
-
 def corridors(doors: DataFrame, wall: float = placing.WALL, apart: float = MAX_APART, turn: float = MAX_TURN) -> DataFrame:
     """Pairs of doorways of two rooms of a capture that nearly agree: room, opening, qx, qy of both, with apart and degrees.
 
@@ -166,6 +152,6 @@ def refine(edges: DataFrame, doors: DataFrame, placements: DataFrame, wall: floa
 
     Edges and doors are in their rooms' own frames.
     """
-    normals = move_doors(facing(doors, edges), placements)
+    normals = move_doors(placing.facing(doors, edges), placements)
     roots = placements.where("placed AND host IS NULL").select("capture", "room")
     return settled(placements, settle(corridors(normals, wall, apart), roots, apart))

@@ -55,7 +55,7 @@ def rooms(spark):
 
 def test_normals_point_into_rooms(rooms):
     edges, doors, _ = rooms
-    for r in settling.facing(doors, edges).collect():
+    for r in placing.facing(doors, edges).collect():
         # a room's middle is the origin of its frame, 1.5 m from each side
         assert r.nx * r.x + r.ny * r.y == pytest.approx(-1.5, abs=1e-9) and np.hypot(r.nx, r.ny) == pytest.approx(1)
 
