@@ -68,10 +68,12 @@ def match(features: DataFrame, ratio: float = RATIO, size: int = 1024) -> DataFr
 
     found = pairs.mapInArrow(nearest, _TWO)
     two = found.groupBy("room", "i", "j", "back", "feature").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, 2).alias("near"))
-    there = two.where("NOT back AND size(near) = 2").where(F.col("near")[0]["far"] < ratio * F.col("near")[1]["far"])
-    there = there.select("room", "i", "j", F.col("feature").alias("a"), F.col("near")[0]["other"].alias("b"), F.col("near")[0]["far"].alias("distance"))
-    back = two.where("back").select("room", "i", "j", F.col("feature").alias("b"), F.col("near")[0]["other"].alias("a"))
-    return there.join(back, ["room", "i", "j", "a", "b"])
+    # both ways side by side, so that distances are worked out once
+    back, first, second = F.col("back"), F.col("near")[0], F.get("near", F.lit(1))
+    d = two.where(back | (first["far"] < ratio * second["far"]))
+    d = d.select("room", "i", "j", F.when(back, first["other"]).otherwise(F.col("feature")).alias("a"), F.when(back, F.col("feature")).otherwise(first["other"]).alias("b"), "back", first["far"].alias("far"))
+    d = d.groupBy("room", "i", "j", "a", "b").agg(F.bool_or("back").alias("mutual"), F.min(F.when(~back, F.col("far"))).alias("distance"))
+    return d.where("mutual AND distance IS NOT NULL").drop("mutual")
 
 
 def rotation(a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
