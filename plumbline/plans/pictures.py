@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.tables import writer
-from plumbline.operators import damage, findings, grid, heights, matching, overlap, rules, settling, sharpness, strips, surfaces
+from plumbline.operators import damage, fan, findings, grid, heights, matching, overlap, rules, settling, sharpness, strips, surfaces
 from plumbline.plans import scoring
 from plumbline.plans.catalog import CLOUD, _cloud, _t, query
 
@@ -226,3 +226,15 @@ def q76_depth_ratios(spark, sf):
     photos = pixels.where(f"z > {overlap.LEAST_DEPTH}").select("room", "photo").distinct().select("room", "photo", F.lit(40.0).alias("f"), F.lit(48).alias("wide"), F.lit(32).alias("high"), F.struct(F.cos(half).alias("w"), zero.alias("x"), F.sin(half).alias("y"), zero.alias("z")).alias("q"))
     d = overlap.ratios(pixels, photos, stride=2)
     return d.select("room", "i", "j", "n", *[F.round(c, k).alias(c) for c, k in (("share", 6), ("log_ratio", 5), ("spread", 5))])
+
+
+@query(f"""WITH p AS (SELECT chunk, (x - 25.5) / 10 AS x, (y - 40) / 15 AS z FROM {CLOUD}),
+o AS (SELECT chunk, floor((degrees(atan2(x, z)) + 180) / 10)::BIGINT AS sector, quantile_cont(sqrt(x * x + z * z), 0.1) - 0.3 AS reach FROM p GROUP BY 1, 2 HAVING count(*) >= 20),
+f AS (SELECT chunk, sector, unnest(range(1, ceil(round(reach / 0.05, 9))::BIGINT)) AS step FROM o WHERE reach > 0)
+SELECT chunk, sector, step, round(sin(radians((sector + 0.5) * 10 - 180)) * step * 0.05, 6) + 0.0 AS x, round(cos(radians((sector + 0.5) * 10 - 180)) * step * 0.05, 6) + 0.0 AS z FROM f
+UNION ALL SELECT DISTINCT chunk, NULL, 0, 0.0, 0.0 FROM p""")
+def q77_free_fan(spark, sf):
+    """Each chunk's points about a station in its midst: free floor in thirty-six directions."""
+    d = _cloud(spark, sf).select(F.col("chunk").alias("capture"), ((F.col("x") - 25.5) / 10).alias("x"), ((F.col("y") - 40) / 15).alias("z"))
+    out = fan.fan(fan.reaches(d, bin_=10.0), d.select("capture"), bin_=10.0)
+    return out.select(F.col("capture").alias("chunk"), "sector", "step", *[(F.round(c, 6) + 0.0).alias(c) for c in "xz"])
