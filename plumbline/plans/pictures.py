@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.tables import writer
-from plumbline.operators import damage, fan, findings, grid, heights, matching, overlap, rules, settling, sharpness, strips, surfaces
+from plumbline.operators import alignment, cloud, damage, fan, findings, grid, heights, levelling, matching, overlap, rules, settling, sharpness, strips, surfaces
 from plumbline.plans import scoring
 from plumbline.plans.catalog import CLOUD, _cloud, _t, query
 
@@ -238,3 +240,57 @@ def q77_free_fan(spark, sf):
     d = _cloud(spark, sf).select(F.col("chunk").alias("capture"), ((F.col("x") - 25.5) / 10).alias("x"), ((F.col("y") - 40) / 15).alias("z"))
     out = fan.fan(fan.reaches(d, bin_=10.0), d.select("capture"), bin_=10.0)
     return out.select(F.col("capture").alias("chunk"), "sector", "step", *[(F.round(c, 6) + 0.0).alias(c) for c in "xz"])
+
+
+_WALLS = f"(SELECT chunk, (x - 25.5) / 10 AS x, (y - 40) / 60 AS y, z / 2.5 - 2 AS z FROM {CLOUD})"
+_PLANS = " UNION ALL ".join(f"SELECT {k} AS plan, {math.cos(t)!r}::DOUBLE AS c, {math.sin(t)!r}::DOUBLE AS s" for k, t in enumerate(levelling.PLANS))
+
+
+@query(f"""WITH g AS (SELECT i::INT AS i, j::INT AS j, tan(radians(i * 2.0::DOUBLE)) AS a, tan(radians(j * 2.0::DOUBLE)) AS b FROM range(-2, 3) s(i), range(-2, 3) t(j) WHERE i * i + j * j <= 4),
+u AS (SELECT i, j, a / sqrt(a * a + 1 + b * b) AS ux, 1 / sqrt(a * a + 1 + b * b) AS uy, -b / sqrt(a * a + 1 + b * b) AS uz FROM g),
+e AS (SELECT *, sqrt((1 - ux * ux) * (1 - ux * ux) + ux * uy * ux * uy + ux * uz * ux * uz) AS e FROM u), f AS (SELECT *, (1 - ux * ux) / e AS ex, -ux * uy / e AS ey, -ux * uz / e AS ez FROM e),
+p AS (SELECT chunk, i, j, (x * ex + y * ey + z * ez) / 0.1 AS a, (x * (uy * ez - uz * ey) + y * (uz * ex - ux * ez) + z * (ux * ey - uy * ex)) / 0.1 AS b FROM {_WALLS}, f WHERE x * ux + y * uy + z * uz > -0.6 AND x * ux + y * uy + z * uz < 0.4),
+n AS (SELECT chunk, i, j, plan, floor(c * a + s * b) AS a, floor(c * b - s * a) AS b, count(*)::DOUBLE AS n FROM p, ({_PLANS}) GROUP BY ALL),
+s AS (SELECT chunk, i, j, sum(n * n) / sum(n) AS score FROM n GROUP BY ALL)
+SELECT chunk, i, j, round(score, 4) AS score, row_number() OVER (PARTITION BY chunk ORDER BY round(score, 4) DESC, i * i + j * j, i, j) AS place FROM s""")
+def q78_up_from_walls(spark, sf):
+    """Each chunk's points as walls about a camera: thirteen directions ranked by how thin walls are along them."""
+    d = _cloud(spark, sf).select(F.col("chunk").alias("capture"), ((F.col("x") - 25.5) / 10).alias("x"), ((F.col("y") - 40) / 60).alias("y"), (F.col("z") / 2.5 - 2).alias("z"), F.lit(1).cast("long").alias("n"))
+    zero = F.lit(0.0)
+    priors = d.select("capture").distinct().select("capture", zero.alias("ux"), F.lit(1.0).alias("uy"), zero.alias("uz"))
+    out = levelling.thinness(d, levelling.candidates(levelling.frames(priors), 4.0, 2.0), 0.1)
+    out = out.select(F.col("capture").alias("chunk"), "i", "j", F.round("score", 4).alias("score"))
+    i, j = F.col("i"), F.col("j")
+    return out.withColumn("place", F.row_number().over(W.partitionBy("chunk").orderBy(F.desc("score"), i * i + j * j, "i", "j")).cast("long"))
+
+
+_SPREADS = "(SELECT l_linenumber AS chunk, l_discount AS slab, l_quantity / 10 AS x, l_extendedprice * (l_discount + 0.01) / 6000 AS y, (l_quantity + l_extendedprice / 2000) / 40 AS z FROM lineitem)"
+
+
+@query(f"""WITH m AS (SELECT chunk, slab, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM {_SPREADS} GROUP BY ALL),
+c AS (SELECT *, xx + yy + zz AS c2, xx * yy + xx * zz + yy * zz - xy * xy - xz * xz - yz * yz AS c1, xx * yy * zz + 2 * xy * xz * yz - xx * yz * yz - yy * xz * xz - zz * xy * xy AS c0 FROM m),
+q AS (SELECT *, greatest(c2 * c2 - 3 * c1, 0) AS q, c2 * c2 * c2 - 4.5 * c2 * c1 + 13.5 * c0 AS r FROM c),
+t AS (SELECT *, CASE WHEN q > 0 THEN acos(greatest(-1, least(1, r / pow(q, 1.5)))) / 3 ELSE 0 END AS t FROM q),
+v AS (SELECT chunk, slab, n, (c2 + 2 * sqrt(q) * cos(t)) / 3 AS a, (c2 + 2 * sqrt(q) * cos(t - 2 * pi() / 3)) / 3 AS b FROM t)
+SELECT chunk, slab, n, round(sqrt(greatest(a, 0)), 4) AS wide, round(sqrt(greatest(b, 0)), 4) AS narrow, n >= 10 AND sqrt(greatest(b, 0)) >= 0.3 AND sqrt(greatest(b, 0)) >= 0.12 * sqrt(greatest(a, 0)) AS area FROM v WHERE n >= 10""")
+def q79_area_tests(spark, sf):
+    """Slabs of each chunk: how far their points spread along their two widest axes, and which are areas."""
+    d = _t(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias("chunk"), F.col("l_discount").alias("slab"), (F.col("l_quantity") / 10).alias("x"),
+        (F.col("l_extendedprice") * (F.col("l_discount") + 0.01) / 6000).alias("y"), ((F.col("l_quantity") + F.col("l_extendedprice") / 2000) / 40).alias("z"),
+    )
+    return levelling.spreads(d, ["chunk", "slab"]).where("n >= 10").withColumns({c: F.round(c, 4) for c in ("wide", "narrow")})
+
+
+@query(f"""WITH c AS (SELECT chunk, floor(x)::BIGINT AS ix, floor(y)::BIGINT AS iz, count(*) AS n FROM {CLOUD} GROUP BY ALL), w AS MATERIALIZED (SELECT chunk, ix, iz FROM c QUALIFY n >= 1.5 * avg(n) OVER (PARTITION BY chunk)),
+d AS MATERIALIZED (SELECT DISTINCT chunk, ix + dx AS ix, iz + dz AS iz FROM w, range(-1, 2) s(dx), range(-1, 2) t(dz)),
+r AS (SELECT chunk, 0 AS degrees, ix, iz FROM w UNION ALL SELECT chunk, 90, -iz - 1, ix FROM w UNION ALL SELECT chunk, 180, -ix - 1, -iz - 1 FROM w UNION ALL SELECT chunk, 270, iz, -ix - 1 FROM w),
+n AS (SELECT d.chunk AS a, r.chunk AS b, degrees, d.ix - r.ix AS dx, d.iz - r.iz AS dz, count(*) AS hits FROM d JOIN r ON r.chunk = d.chunk + 1 GROUP BY ALL),
+o AS (SELECT chunk, count(*) AS cells FROM w GROUP BY 1)
+SELECT a::VARCHAR AS a, b::VARCHAR AS b, degrees::DOUBLE AS degrees, dx, dz, hits, cells AS of, round(hits / cells, 6) AS share FROM n JOIN o ON o.chunk = b QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY hits DESC, degrees, dz, dx) = 1""")
+def q80_scan_alignment(spark, sf):
+    """Crowded cells of each chunk as the walls of a scan: how the next chunk is laid on it, by quarter turns."""
+    c = _cloud(spark, sf).groupBy("chunk", cloud.cell("x", 1.0).alias("ix"), cloud.cell("y", 1.0).alias("iz")).agg(F.count("*").alias("n"))
+    w = c.withColumn("usual", F.avg("n").over(W.partitionBy("chunk"))).where("n >= 1.5 * usual").select(F.col("chunk").alias("capture"), "ix", "iz")
+    pairs = w.select("capture").distinct().select(F.col("capture").alias("a"), (F.col("capture") + 1).alias("b"))
+    return alignment.align(w, pairs, 90.0).withColumn("share", F.round("share", 6))
