@@ -67,12 +67,17 @@ def follow(state: tuple, sightings: Iterable[tuple], max_misses: int, reach: flo
 START = (None, None, 0, False, None)
 
 
-def track(sightings: DataFrame, max_misses: int = 4, reach: float = 80.0) -> DataFrame:
+def track(sightings: DataFrame, max_misses: int = 4, reach: float = 80.0, until: float | None = None, late: str = "10 seconds") -> DataFrame:
     """(clip, ts, x, y): each clip's strip followed through a stream or table of clip, ts, x, y, length.
 
-    Rows of frames where nothing was seen have a null place. A stream keeps five values a clip.
+    Rows of frames where nothing was seen have a null place. A stream keeps five values a clip. With ``until``
+    sightings have ``started``, too, the same for all rows of a clip, and only frames up to that many seconds after it
+    count; rows without a start take no part. A timer then deletes a clip's state once no frame as late as ``late``
+    can come in time, so that a stream without end holds the clips of its last minutes alone. What comes later than that is dropped.
     """
-    d = sightings.select("clip", F.col("ts").cast("timestamp").alias("ts"), "x", "y", "length")
+    d = sightings.select("clip", F.col("ts").cast("timestamp").alias("ts"), "x", "y", "length", *([] if until is None else [F.col("started").cast("timestamp").alias("started")]))
+    if until is not None:
+        d = d.withColumn("ends", F.col("started") + F.make_dt_interval(secs=F.lit(float(until)))).where("ts <= ends").withColumn("ends", F.unix_millis("ends")).drop("started")
     columns = ["ts", "x", "y", "length"]
     rows = lambda g: g[columns].astype(object).where(g[columns].notna(), None).itertuples(index=False, name=None)
     if not sightings.isStreaming:
@@ -83,9 +88,21 @@ def track(sightings: DataFrame, max_misses: int = 4, reach: float = 80.0) -> Dat
         return d.groupBy("clip").applyInPandas(batch, TRACK)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = list(parts)
         kept = [r for g in parts for r in rows(g)]  # a clip's frames of one batch, ordered before they count
         new, taken = follow(state.get if state.exists else START, kept, max_misses, reach)
-        state.update(new)
+        ends = None if until is None else max(int(g["ends"].max()) for g in parts if len(g))
+        if ends is None or ends > state.getCurrentWatermarkMs():
+            state.update(new)
+            if ends is not None:
+                state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame([(key[0], *t) for t in taken], columns=["clip", "ts", "x", "y"])
 
-    return d.groupBy("clip").applyInPandasWithState(step, TRACK, STATE, "append", GroupStateTimeout.NoTimeout)
+    if until is None:
+        return d.groupBy("clip").applyInPandasWithState(step, TRACK, STATE, "append", GroupStateTimeout.NoTimeout)
+    return d.withWatermark("ts", late).groupBy("clip").applyInPandasWithState(step, TRACK, STATE, "append", GroupStateTimeout.EventTimeTimeout)

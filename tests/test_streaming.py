@@ -59,3 +59,24 @@ def test_track(spark, stream):
     assert sorted(map(tuple, keyframes.track(spark.createDataFrame(a + b, schema)).collect())) == want
     out = list(stream([a, b], schema, keyframes.track, "append"))
     assert sorted(map(tuple, sum(out, []))) == want
+
+
+def test_track_ends_with_its_time(spark, tmp_path):
+    """Frames after the limit do not count, and the state of clips that are over is gone."""
+    schema = "clip long, ts timestamp, x double, y double, length double, started timestamp"
+    a = [(1, at(1), 10.0, 10.0, 20.0, at(0)), (1, at(2), 12.0, 10.0, 9.0, at(0)), (2, at(5), 7.0, 7.0, 3.0, at(4)), (3, at(3), 1.0, 1.0, 1.0, None)]
+    b = [(1, at(9), 14.0, 10.0, 9.0, at(0)), (1, at(11), 14.0, 10.0, 9.0, at(0)), (2, at(13), 9.0, 7.0, 3.0, at(4)), (4, at(60), 5.0, 5.0, 5.0, at(55))]
+    c = [(1, at(9.5), 15.0, 10.0, 9.0, at(0)), (1, at(70), 15.0, 10.0, 9.0, at(0)), (4, at(62), 6.0, 5.0, 5.0, at(55))]
+    want = [(1, at(1), 10.0, 10.0), (1, at(2), 12.0, 10.0), (1, at(9), 14.0, 10.0), (2, at(5), 7.0, 7.0), (2, at(13), 9.0, 7.0), (4, at(60), 5.0, 5.0), (4, at(62), 6.0, 5.0)]
+    table = keyframes.track(spark.createDataFrame(a + b + c[1:], schema), until=10.0)
+    assert sorted(map(tuple, table.collect())) == want
+    out, held = [], []
+    for rows in (a, b, c):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = keyframes.track(src, until=10.0).writeStream.option("checkpointLocation", str(tmp_path / "cp"))
+        q = q.foreachBatch(lambda df, _: out.extend(df.collect())).trigger(availableNow=True).start()
+        q.awaitTermination()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert sorted(map(tuple, out)) == want  # the frame at 9.5 came after its clip was over
+    assert held == [2, 1, 1]
