@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.llm import store
+
 FINDING = "blob string, rule string, kind string, start int, end int"
 SCANNED = "blob string, rule string"
 
@@ -132,6 +134,7 @@ class Ledger:
         keys = F.array(*[F.lit(r.key) for r in rules])
         versions = docs.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         seen = self._read("scanned", SCANNED)
+        written = None
         if seen.isEmpty():
             new = versions.groupBy("blob").agg(F.first("text").alias("text")).withColumn("due", keys)
             done = versions.select("blob").distinct().withColumn("due", keys)
@@ -139,11 +142,15 @@ class Ledger:
             had = seen.groupBy("blob").agg(F.collect_set("rule").alias("had"))
             ids = versions.select("blob").distinct().join(had, "blob", "left")
             due = ids.select("blob", F.array_except(keys, F.coalesce("had", F.array().cast("array<string>"))).alias("due")).where(F.size("due") > 0)
-            new = versions.groupBy("blob").agg(F.first("text").alias("text")).join(due, "blob")
+            # written first, so that its size is known: few blobs are sent to the texts, and only theirs are shuffled
+            due = written = store.materialize(due, "due")
+            new = versions.join(store.small(due), "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("due").alias("due"))
             done = due
         # what was found is written before the pairs count as scanned
         find(new, rules).write.mode("append").parquet(f"{self.path}/findings")
         done.select("blob", F.explode("due").alias("rule")).write.mode("append").parquet(f"{self.path}/scanned")
+        if written is not None:
+            store.discard(written)
 
     def by_blob(self, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
         """A row for each blob with findings of these rules: its spans by start, then rule, then end."""
