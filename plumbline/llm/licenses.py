@@ -265,10 +265,12 @@ def detections(texts: DataFrame, found_rules: list[LicenseRule]) -> DataFrame:
     d = texts.where("__norm IS NOT NULL").select("__rid", "__norm", F.explode("__keys").alias("keyword"))
     d = d.join(F.broadcast(table), "keyword")  # the hand-written rules, some hundred rows
     d = d.withColumn("__marked", F.regexp_replace("__norm", F.col("pattern"), F.lit("\x01$0\x02"))).where(F.contains("__marked", F.lit("\x01"))).drop("__norm")
-    d = d.select("__rid", "no", "keyword", "label", "priority", "weight", F.posexplode(F.split("__marked", "\x01", -1)).alias("k", "piece"))
+    d = d.select("__rid", "no", "label", "priority", "weight", F.posexplode(F.split("__marked", "\x01", -1)).alias("k", "piece"))
+    # lengths alone go on to the window, which moves rows; the text stays where it was read
     length = F.length("piece") - F.when(F.col("k") > 0, 1).otherwise(0)
-    before = F.sum(length).over(W.partitionBy("__rid", "no").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
-    d = d.withColumn("start", before).where("k > 0").withColumn("end", F.col("start") + F.instr("piece", "\x02") - 1).drop("k", "piece")
+    d = d.withColumns({"size": length, "closes": F.instr("piece", "\x02")}).drop("piece")
+    before = F.sum("size").over(W.partitionBy("__rid", "no").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("start", before).where("k > 0").withColumn("end", F.col("start") + F.col("closes") - 1).drop("k", "size", "closes")
     # what comes before in this order and ends no sooner holds the detection within itself
     before = W.partitionBy("__rid").orderBy("start", F.desc("end"), F.desc("priority"), "no").rowsBetween(W.unboundedPreceding, -1)
     levels = sorted({r.priority for r in found_rules})

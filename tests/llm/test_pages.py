@@ -89,3 +89,13 @@ def test_every_rule_fires(spark):
     names = texts.select("__rid", "doc_id")
     fired = {(r.doc_id, r.no) for r in licenses.detections(texts, found).join(names, "__rid").select("doc_id", "no").collect()}
     assert not [found[i] for i in range(len(found)) if (i, i) not in fired]
+
+
+def test_license_windows_move_no_text(spark):
+    """What is shuffled for the windows holds lengths and places, no text."""
+    docs = spark.createDataFrame([(k, "spdx license identifier mit, all rights reserved") for k in range(20)], "doc_id long, text string")
+    found = licenses.detections(licenses._base(docs, "text", licenses.rules()), licenses.rules())
+    plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [part for part in plan.split("\n(") if ") Exchange" in part.splitlines()[0]]
+    assert moved and not [part for part in moved if any(c in part for c in ("piece", "__norm", "__marked"))]
+    assert found.count() > 0
